@@ -18,7 +18,7 @@ def fits_broadcast(df: DataFrame) -> bool:
     session = df.sparkSession._jsparkSession.sessionState()
     limit = session.conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return limit > 0 and int(size.toString()) <= limit
+    return size <= limit
 
 
 def key_counts(facts: DataFrame, key: str) -> DataFrame:

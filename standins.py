@@ -20,7 +20,7 @@ from sharewise.operators.metadata import project_dimension
 from sharewise.operators.pairs import mirror, strip_urls
 
 AS_OF = "2002-01-01 12:00:00"
-SPLIT = "1998-01-01 00:00:00"
+SPLIT = "1997-02-01 00:00:00"
 LOOKUP_URLS = ("https://github.com/brand#2/red-widget", "https://github.com/brand#17/old-bolt")
 
 
