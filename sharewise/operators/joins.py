@@ -83,6 +83,8 @@ def lookup_join(
 
     A lookup whose estimated size is under the broadcast limit is left to Catalyst, which then
     moves no fact row. A larger one is shuffled, with the hot keys of the facts split.
+    ``counts`` (key, ``__n``) saves counting the facts; it need not be exact, for it only
+    decides how finely a key is split, never which rows match.
     """
     if fits_broadcast(lookup):
         extra = [c for c in lookup.columns if c != key]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sharewise.operators.joins import lookup_join
+from sharewise.operators.joins import key_counts, lookup_join
 
 # Metadata fields and the names the features use for them.
 _RENAMED = {
@@ -70,13 +70,15 @@ def attach_metadata(
     for side in ("a", "b"):
         key = f"project_{side}"
         lookup = side_columns(dimension, side)
-        if not fold_case:
-            out = lookup_join(out, lookup, key, ["id"])
-            continue
-        folded = f"__folded_{side}"
-        lookup = lookup.withColumnRenamed(key, folded)
-        out = lookup_join(out.withColumn(folded, F.lower(key)), lookup, folded, ["id"])
-        out = out.drop(folded)
+        counted = pairs  # counted before any join, so no join is run twice
+        if fold_case:
+            folded = f"__folded_{side}"
+            lookup = lookup.withColumnRenamed(key, folded)
+            out, counted = (t.withColumn(folded, F.lower(key)) for t in (out, counted))
+            key = folded
+        out = lookup_join(out, lookup, key, ["id"], counts=key_counts(counted, key))
+        if fold_case:
+            out = out.drop(key)
     return out
 
 

@@ -36,11 +36,10 @@ def _loo_weight(side: str, singleton: str):
     return F.when(F.col("weight_count") > 1, others).otherwise(alone)
 
 
-def _with_stats(df: DataFrame, side: str) -> DataFrame:
+def _with_stats(df: DataFrame, side: str, stats: DataFrame) -> DataFrame:
     """Rows with their project's sums. The sums know the rows per key, so hub projects are
     found without another pass."""
     key = f"project_{side}"
-    stats = project_stats(df, side)
     sums = stats.select(key, "weight_sum", "weight_count")
     return lookup_join(df, sums, key, ["id"], counts=stats)
 
@@ -70,7 +69,7 @@ def leave_one_out_encoding(df: DataFrame, singleton: str = "own") -> DataFrame:
         value = _loo_weight(side, singleton)
         value = F.when(F.col(f"project_{side}").isNotNull(), value)
         out = (
-            _with_stats(out, side)
+            _with_stats(out, side, project_stats(df, side))
             .withColumn(name, F.coalesce(value, global_mean(df)))
             .drop("weight_sum", "weight_count")
         )
@@ -88,8 +87,9 @@ def target_encoding(
 
 def leave_one_out_values(df: DataFrame, side: str) -> DataFrame:
     """The distinct ``(project, mean_weight)`` pairs behind the leave-one-out encoding."""
+    rows = df.select("id", f"project_{side}", f"weight_{side}")
     return (
-        _with_stats(df.select("id", f"project_{side}", f"weight_{side}"), side)
+        _with_stats(rows, side, project_stats(rows, side))
         .select(
             F.col(f"project_{side}").alias("project"),
             _loo_weight(side, "own").alias("mean_weight"),

@@ -148,23 +148,34 @@ def flag_name(feature: str) -> str:
 
 
 def numeric_columns(
-    df: DataFrame, features: Sequence[str], keep: Sequence[str] = (), flags: bool = True
+    df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``keep`` as it is and ``features`` as doubles without gaps.
-
-    Null, NaN and infinity become ``MISSING`` plus, with ``flags``, a 0/1 column, so that a
-    tree can send missing rows either way.
-    """
+    """``keep`` as it is and ``features`` as doubles, with NaN and infinity turned to null."""
+    kinds = dict(df.dtypes)
     columns = [F.col(c) for c in keep]
     for name in features:
         value = F.col(name).cast("double")
-        absent = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-        columns.append(F.when(absent, F.lit(MISSING)).otherwise(value).alias(name))
-        if flags:
-            columns.append(absent.cast("double").alias(flag_name(name)))
+        if kinds[name] in ("double", "float"):
+            finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+            value = F.when(finite, value)
+        columns.append(value.alias(name))
     return df.select(*columns)
 
 
+def fill_missing(
+    df: DataFrame, features: Sequence[str], flags: bool = True
+) -> DataFrame:
+    """Nulls of ``features`` become ``MISSING``, plus a 0/1 column with ``flags``.
+
+    With the flag a tree can send missing rows either way. Applied to staged columns, after
+    the features are computed, so that no feature is computed twice.
+    """
+    filled = {f: F.coalesce(f, F.lit(MISSING)) for f in features}
+    if flags:
+        filled |= {flag_name(f): F.col(f).isNull().cast("double") for f in features}
+    return df.withColumns(filled)
+
+
 def model_inputs(features: Sequence[str], flags: bool = True) -> list[str]:
     """Names of the vector's entries, in order."""
     if not flags:

@@ -41,7 +41,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage like ``checkpoint()`` but stays columnar, so later passes still prune
     columns and push fold filters into the scan. Survives the loss of any executor.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows evenly over ``spark.sql.shuffle.partitions`` tasks, whatever their keys."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

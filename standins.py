@@ -3,8 +3,7 @@
 A part stands for a project. Each order is one comparison, between the parts of its most and
 its least valuable line, and the two amounts give the weights; the pair id is the order key.
 Orders first shipped before ``SPLIT`` are training pairs, the others are test pairs. Lines
-with the highest tax write the project in mixed case; a low discount drops the URL prefix of
-side b. A part's lines give its repository counts and dates; parts of type PROMO stand for
+of high amount write the project in mixed case; a low amount drops the URL prefix of side b. A part's lines give its repository counts and dates; parts of type PROMO stand for
 repositories whose metadata could not be fetched. Suppliers receive funding and own the
 repositories named after the brands and names of the parts they ship.
 
@@ -21,6 +20,10 @@ from sharewise.operators.pairs import mirror, strip_urls
 
 AS_OF = "2002-01-01 12:00:00"
 SPLIT = "1997-02-01 00:00:00"
+# In cents; a part key takes the low bits of a packed line.
+MIXED_ABOVE = 8_000_000
+PREFIX_ABOVE = 2_000_000
+PART_BITS = 32
 LOOKUP_URLS = ("https://github.com/brand#2/red-widget", "https://github.com/brand#17/old-bolt")
 
 
@@ -33,36 +36,46 @@ def _cents(column: str):
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass and one shuffle: an order's two lines come from map-side max and min."""
-    line = F.struct(
-        _cents("l_extendedprice").alias("cents"),
-        F.col("l_partkey").alias("part"),
-        F.col("l_tax").alias("tax"),
-        F.col("l_discount").alias("disc"),
-    )
+    """One pass and one shuffle: an order's two lines come from map-side max and min.
+
+    Amount and part share one long (amount first), because a struct would make the
+    aggregation sort where a long lets it hash.
+    """
+    line = F.shiftleft(_cents("l_extendedprice"), PART_BITS).bitwiseOR(F.col("l_partkey"))
     orders = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.max(line).alias("hi"), F.min(line).alias("lo"), F.min("l_shipdate").alias("shipped")
     )
-    swap = F.col("hi.part") > F.col("lo.part")
-    ends = orders.filter("hi.part <> lo.part").select(
+
+    def part(packed):
+        return packed.bitwiseAND(F.lit((1 << PART_BITS) - 1))
+
+    hi, lo = F.col("hi"), F.col("lo")
+    swap = part(hi) > part(lo)
+    ends = orders.filter(part(hi) != part(lo)).select(
         F.col("l_orderkey").alias("id"),
         "shipped",
-        F.when(swap, F.col("lo")).otherwise(F.col("hi")).alias("a"),
-        F.when(swap, F.col("hi")).otherwise(F.col("lo")).alias("b"),
+        F.when(swap, lo).otherwise(hi).alias("a"),
+        F.when(swap, hi).otherwise(lo).alias("b"),
+    )
+    ends = ends.select(
+        "id",
+        "shipped",
+        *[part(F.col(side)).alias(f"part_{side}") for side in ("a", "b")],
+        *[F.shiftright(side, PART_BITS).alias(f"cents_{side}") for side in ("a", "b")],
     )
 
     def project(side):
-        owner = F.when(F.col(f"{side}.tax") > 0.075, "Org/Part-").otherwise("org/part-")
-        return F.concat(owner, F.col(f"{side}.part").cast("string"))
+        owner = F.when(F.col(f"cents_{side}") > MIXED_ABOVE, "Org/Part-")
+        return F.concat(owner.otherwise("org/part-"), F.col(f"part_{side}").cast("string"))
 
-    prefix = F.when(F.col("b.disc") > 0.025, "https://github.com/").otherwise("")
-    total = F.col("a.cents") + F.col("b.cents")
+    prefix = F.when(F.col("cents_b") > PREFIX_ABOVE, "https://github.com/").otherwise("")
+    total = F.col("cents_a") + F.col("cents_b")
     return ends.select(
         "id",
         F.concat(F.lit("https://github.com/"), project("a")).alias("project_a"),
         F.concat(prefix, project("b")).alias("project_b"),
-        (F.col("a.cents") / total).alias("weight_a"),
-        (F.col("b.cents") / total).alias("weight_b"),
+        (F.col("cents_a") / total).alias("weight_a"),
+        (F.col("cents_b") / total).alias("weight_b"),
         "shipped",
     )
 
@@ -227,10 +240,10 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLES_SQL = {
     "all_pairs": f"""
         SELECT id, shipped,
-               'https://github.com/' || CASE WHEN a.tax > 0.075 THEN 'Org/Part-' ELSE 'org/part-' END
+               'https://github.com/' || CASE WHEN a.cents > {MIXED_ABOVE} THEN 'Org/Part-' ELSE 'org/part-' END
                  || CAST(a.part AS VARCHAR) AS project_a,
-               CASE WHEN b.disc > 0.025 THEN 'https://github.com/' ELSE '' END
-                 || CASE WHEN b.tax > 0.075 THEN 'Org/Part-' ELSE 'org/part-' END
+               CASE WHEN b.cents > {PREFIX_ABOVE} THEN 'https://github.com/' ELSE '' END
+                 || CASE WHEN b.cents > {MIXED_ABOVE} THEN 'Org/Part-' ELSE 'org/part-' END
                  || CAST(b.part AS VARCHAR) AS project_b,
                CAST(a.cents AS DOUBLE) / CAST(a.cents + b.cents AS DOUBLE) AS weight_a,
                CAST(b.cents AS DOUBLE) / CAST(a.cents + b.cents AS DOUBLE) AS weight_b
@@ -242,12 +255,12 @@ _TABLES_SQL = {
               WHERE hi.line.part <> lo.line.part)""",
     "ranked": """
         SELECT l_orderkey AS id,
-               {'cents': cents, 'part': l_partkey, 'tax': l_tax, 'disc': l_discount} AS line,
+               {'cents': cents, 'part': l_partkey} AS line,
                min(l_shipdate) OVER (PARTITION BY l_orderkey) AS shipped,
                row_number() OVER (PARTITION BY l_orderkey
-                 ORDER BY cents DESC, l_partkey DESC, l_tax DESC, l_discount DESC) AS from_top,
+                 ORDER BY cents DESC, l_partkey DESC) AS from_top,
                row_number() OVER (PARTITION BY l_orderkey
-                 ORDER BY cents, l_partkey, l_tax, l_discount) AS from_bottom
+                 ORDER BY cents, l_partkey) AS from_bottom
         FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)""",
     "raw_train": f"""
         SELECT id, project_a, project_b, weight_a, weight_b FROM all_pairs
