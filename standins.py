@@ -24,7 +24,7 @@ SPLIT = "1997-02-01 00:00:00"
 MIXED_ABOVE = 8_000_000
 PREFIX_ABOVE = 2_000_000
 PART_BITS = 32
-LOOKUP_URLS = ("https://github.com/brand#2/red-widget", "https://github.com/brand#17/old-bolt")
+LOOKUP_URLS = ("https://github.com/brand#1/blue-rod", "https://github.com/brand#1/hot-gear")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
