@@ -251,9 +251,8 @@ def top_features(spark, sf):
 
 
 def pareto_front(spark, sf):
-    return rounded(
-        pareto.flag_overfit(pareto.pareto_front(src.model_points(spark, sf)), limit=25.0)
-    )
+    front = pareto.flag_overfit(pareto.pareto_front(src.model_points(spark, sf)), limit=25.0)
+    return rounded(front.orderBy("mse"))
 
 
 def submission(spark, sf):
@@ -300,7 +299,8 @@ def gbt_cv(spark, sf):
 
 
 def feature_selection(spark, sf):
-    return training.select_features(_table(spark, sf), TRAINING_FEATURES, params=TREES)
+    table = _table(spark, sf)
+    return importance.ranked(training.select_features(table, TRAINING_FEATURES, params=TREES))
 
 
 def random_search(spark, sf):
@@ -343,7 +343,7 @@ def alpha_sweep(spark, sf):
 
 def alpha_sweep_front(spark, sf):
     points = pareto.sweep_points(alpha_sweep(spark, sf))
-    return pareto.flag_overfit(pareto.pareto_front(points))
+    return pareto.flag_overfit(pareto.pareto_front(points)).orderBy("mse")
 
 
 def alpha_submissions(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sharewise.operators.joins import lookup_join
+from sharewise.operators.joins import key_counts, lookup_join
 
 TOLERANCE = 1e-6
 
@@ -87,7 +87,9 @@ def triples(pairs: DataFrame) -> DataFrame:
 
     Each edge points from its less compared to its more compared end, so a project compared
     with a third of all others keeps few outgoing edges: with m edges no project has more than
-    sqrt(2 m). Two outgoing edges of one project are closed by a lookup of the third edge.
+    sqrt(2 m). These bounded lists of ends meet at every edge, and what both ends of the edge
+    point to are the third corners: no pair of edges is emitted that does not close. A
+    project that very many edges point to is split by the lookup.
     """
     e = edges(pairs)
     ends = e.select(F.explode(F.array("x", "y")).alias("project"))
@@ -98,34 +100,42 @@ def triples(pairs: DataFrame) -> DataFrame:
         ranked = lookup_join(ranked, ranks, end, [other])
     dx, dy = F.col("dx"), F.col("dy")
     up = (dx < dy) | ((dx == dy) & (F.col("x") < F.col("y")))
+    tail, head = (
+        F.when(up, F.col(first)).otherwise(F.col(second))
+        for first, second in (("wx", "wy"), ("wy", "wx"))
+    )
     out = ranked.select(
         F.when(up, F.col("x")).otherwise(F.col("y")).alias("u"),
         F.when(up, F.col("y")).otherwise(F.col("x")).alias("v"),
-        F.when(up, F.col("wx")).otherwise(F.col("wy")).alias("wu"),
-        F.when(up, F.col("wy")).otherwise(F.col("wx")).alias("wv"),
-    )
-    first = out.select(
-        "u", "v", F.sign(F.col("wv") - F.col("wu")).alias("s1"),
-        _step(F.col("wu"), F.col("wv")).alias("l1"),
+        F.struct(F.sign(head - tail).alias("sign"), _step(tail, head).alias("log")).alias("uv"),
     )
-    second = out.select(
-        "u", F.col("v").alias("w"), F.sign(F.col("wu") - F.col("wv")).alias("s3"),
-        _step(F.col("wv"), F.col("wu")).alias("l3"),
+    lists = out.groupBy("u").agg(
+        F.map_from_entries(F.collect_list(F.struct("v", "uv"))).alias("ends")
     )
-    closing = e.select(
-        F.col("x").alias("v"), F.col("y").alias("w"),
-        F.sign(F.col("wy") - F.col("wx")).alias("s2"),
-        _step(F.col("wx"), F.col("wy")).alias("l2"),
+    from_u = lists.withColumnRenamed("ends", "from_u")
+    from_v = lists.select(F.col("u").alias("v"), F.col("ends").alias("from_v"))
+    met = lookup_join(out, from_u, "u", ["v"], how="inner")
+    met = lookup_join(met, from_v, "v", ["u"], how="inner", counts=key_counts(out, "v"))
+    shared = F.array_intersect(F.map_keys("from_u"), F.map_keys("from_v"))
+    closed = F.transform(
+        shared,
+        lambda w: F.struct(
+            w.alias("w"),
+            F.element_at("from_v", w).alias("vw"),
+            F.element_at("from_u", w).alias("uw"),
+        ),
     )
-    cycle = first.join(second, "u").filter("v < w").join(closing, ["v", "w"])
-    ordered = F.array_sort(F.array("u", "v", "w"))
-    ups = sum((F.col(s) > 0).cast("int") for s in ("s1", "s2", "s3"))
-    downs = sum((F.col(s) < 0).cast("int") for s in ("s1", "s2", "s3"))
+    cycle = met.select("u", "v", "uv", F.inline(closed))
+    # Walking u -> v -> w -> u, the last step goes against its edge.
+    steps = [F.col("uv.sign"), F.col("vw.sign"), -F.col("uw.sign")]
+    ups = sum((s > 0).cast("int") for s in steps)
+    downs = sum((s < 0).cast("int") for s in steps)
+    corners = F.array_sort(F.array("u", "v", "w"))
     return cycle.select(
-        ordered[0].alias("a"),
-        ordered[1].alias("b"),
-        ordered[2].alias("c"),
-        F.abs(F.col("l1") + F.col("l2") + F.col("l3")).alias("log_gap"),
+        corners[0].alias("a"),
+        corners[1].alias("b"),
+        corners[2].alias("c"),
+        F.abs(F.col("uv.log") + F.col("vw.log") - F.col("uw.log")).alias("log_gap"),
         (((ups >= 2) & (downs == 0)) | ((downs >= 2) & (ups == 0))).alias("order_violation"),
     )
 
