@@ -26,8 +26,9 @@ def key_counts(facts: DataFrame, key: str) -> DataFrame:
     return facts.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def hot_keys(counts: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
     """``(__hot_key, __copies)`` for the fewer than MAX_HOT_KEYS keys worth splitting."""
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     total = counts.agg(F.sum("__n").alias("total")).scalar()
     return counts.filter(
         (F.col("__n") > rows_per_task) & (F.col("__n") * MAX_HOT_KEYS > total)
@@ -44,7 +45,7 @@ def salted_join(
     spread_by: Sequence[str],
     how: str = "left",
     counts: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join on ``key`` with each hot key cut into as many shares as it has task-loads of rows.
 

@@ -18,9 +18,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     stops with an error instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if root:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(root)  # MLlib's own checkpoints belong there too
         return root
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _LOCAL_ROOTS:
