@@ -238,7 +238,7 @@ def diversity_gradient(spark, sf):
 
 def diversity_hessian(spark, sf):
     scored = src.scored_pairs(spark, sf)
-    coded = diversity.diversity_gradient(scored, ALPHA, hessian="reference")
+    coded = diversity.diversity_gradient(scored, ALPHA, hessian="finite_difference")
     return rounded(coded.select("id", "hess"), digits=9)
 
 

@@ -14,6 +14,8 @@ from sharewise.functions import error_correlation, mse
 DEVIATION_FLOOR = 1e-8
 HESSIAN_STEP = 1e-3
 
+HESSIANS = ("squared", "finite_difference")
+
 
 def diversity_metric(df: DataFrame, label: str = "weight_a") -> DataFrame:
     """One row: ``mse`` and ``error_corr``, in one pass."""
@@ -53,13 +55,13 @@ def diversity_gradient(
 
         alpha / (n (sd + floor)) * (z_base - n rho (e - mean e) / ((n - 1) sd))
 
-    ``hessian='squared'`` is that of the squared error, 2/n. ``'reference'`` is the finite
-    difference between the loss at a shifted prediction, there with the opposite sign of alpha,
-    and the loss here; a shift leaves standardised errors as they are, so it comes to
+    ``hessian='squared'`` is that of the squared error, 2/n. ``'finite_difference'`` is
+    that between the loss at a shifted prediction, there with the opposite sign of alpha, and
+    the loss here; a shift leaves standardised errors as they are, so it comes to
     2/n - 2 * (correlation term) / step and may be negative.
     """
-    if hessian not in ("squared", "reference"):
-        raise ValueError("hessian must be 'squared' or 'reference'")
+    if hessian not in HESSIANS:
+        raise ValueError(f"hessian must be one of {HESSIANS}")
     moments = error_moments(df, label)
     m = moments.select(F.struct(*moments.columns)).scalar()
     e, b = F.col("prediction") - F.col(label), F.col("base_prediction") - F.col(label)
@@ -70,7 +72,7 @@ def diversity_gradient(
     )
     pull = F.lit(float(alpha)) / (n * (sd + DEVIATION_FLOOR)) * (z_base - centred)
     curve = F.lit(2.0) / n
-    if hessian == "reference":
+    if hessian == "finite_difference":
         curve = curve - 2.0 * F.col("__pull") / HESSIAN_STEP
     return (
         df.withColumn("__pull", pull)

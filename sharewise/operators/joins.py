@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/MAX_HOT_KEYS of the rows, so there are fewer than
 # MAX_HOT_KEYS hot keys whatever the data: that is what bounds the broadcast below.
-MAX_HOT_KEYS = 4096
+MAX_HOT_KEYS = 65_536
 ROWS_PER_TASK = 2_000_000
 
 

@@ -67,6 +67,12 @@ def refresh_metadata(
     return spark.read.schema(schema).parquet(snapshot)
 
 
+def read_warehouse_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The ``oss_funding`` or ``repositories`` table, with its declared schema."""
+    schema = {"oss_funding": schemas.OSS_FUNDING, "repositories": schemas.REPOSITORIES}[name]
+    return spark.read.schema(schema).parquet(path)
+
+
 def register_warehouse(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     """Name tables for use from SQL text."""
     for name, df in tables.items():

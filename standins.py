@@ -32,7 +32,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _cents(column: str):
-    return F.round(F.col(column) * 100).cast("bigint")
+    """Two decimals as a whole number; floor stays in primitive code where round does not."""
+    return F.floor(F.col(column) * 100 + 0.5)
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_gradient_is_that_of_the_loss(sample, alpha):
 def test_coded_hessian_is_the_finite_difference_with_the_sign_turned(sample):
     df, p, y, b = sample
     alpha = 0.001
-    rows = diversity_gradient(df, alpha, hessian="reference").orderBy("id").collect()
+    rows = diversity_gradient(df, alpha, hessian="finite_difference").orderBy("id").collect()
     here = numeric_gradient(p, y, b, alpha)
     there = numeric_gradient(p + HESSIAN_STEP, y, b, -alpha)
     assert np.allclose([r.hess for r in rows], (there - here) / HESSIAN_STEP, atol=1e-5)

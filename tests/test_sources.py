@@ -145,6 +145,16 @@ def test_report_drops_the_id_and_projects_without_repo(warehouse):
     assert funding.preview(report, 1).count() == 1
 
 
+def test_report_as_sql_over_named_tables(spark, warehouse, tmp_path):
+    warehouse[0].write.parquet(str(tmp_path / "funding"))
+    facts = tables.read_warehouse_table(spark, str(tmp_path / "funding"), "oss_funding")
+    assert facts.schema == schemas.OSS_FUNDING
+    tables.register_warehouse(spark, {"facts": facts})
+    text = "SELECT * EXCEPT (to_project_id) FROM facts WHERE to_project_id = 2"
+    rows = tables.warehouse_query(spark, text).collect()
+    assert [(r.to_project_name, r.amount) for r in rows] == [("q", 9.0)]
+
+
 def test_checkpoint_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert session.checkpoint_root(spark) == named
