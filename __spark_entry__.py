@@ -39,6 +39,14 @@ from sharewise.plans.features import (  # noqa: E402
 from sharewise.session import scratch_path  # noqa: E402
 from sharewise.sources import sinks, tables  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline
+    from sharewise.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "sharewise.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 KEY = ("id", "project_a", "project_b")
 ALPHA = 0.001
@@ -430,10 +438,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alpha_sweep": alpha_sweep,
         "alpha_sweep_front": alpha_sweep_front,
         "alpha_submissions": alpha_submissions,
+        **({} if llm is None else llm.queries() | {"pipeline": corpus_pipeline.run}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle import texts
 
-    return texts()
+    return texts() | ({} if llm is None else llm.oracle_sql())
