@@ -13,7 +13,8 @@ anywhere else in the table. Strings are judged on the input.
    finds the common extension of two suffixes by binary search over prefix polynomial hashes.
    Neighbours with ``length`` bytes in common, verified byte by byte, repeat.
    An anchor with more than ``HOT`` contents (an edge of a passage that half the corpus quotes)
-   is not brought together: its windows are counted by their 128-bit digests instead.
+   is not brought together: its blocks, and where blocks share a core but differ their windows,
+   are counted by their 128-bit digests instead.
 4. Repeated windows go back to the runs, runs to the texts.
 
 Polynomial hashes are taken modulo 2**64. They are only ever used to find, never to accept.
@@ -231,31 +232,56 @@ def repeated_windows(
     core = order.hash(core_start, length - BLOCK + 1)
     code = _mixed(core ^ _mixed(group[owner].view(np.uint64) + block.astype(np.uint64)))
     # A block is one entry per context; cores of two contexts or more are alive.
-    entry = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])))
+    ends = np.append((owner[1:] != owner[:-1]) | (block[1:] != block[:-1]), True)
+    entry = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
     _, kind, shared = np.unique(code[entry], return_inverse=True, return_counts=True)
-    size = np.diff(np.append(entry, len(owner)))
-    alive = np.repeat(shared[kind] > 1, size)
-    live = np.flatnonzero(alive)
-    if not live.size:
+    live = np.flatnonzero(shared[kind] > 1)
+    entry, kind, size = entry[live], kind[live], np.diff(np.append(entry, len(owner)))[live]
+    # Entries with the same bytes all repeat; one of them stands for the rest.
+    extent = size - 1 + length
+    bytes_of = order.hash(start[entry], extent) ^ _mixed((kind * 16 + size).astype(np.uint64))
+    _, lead, same = np.unique(_mixed(bytes_of), return_index=True, return_inverse=True)
+    twin = np.flatnonzero(lead[same] != np.arange(len(entry)))
+    if twin.size:
+        equal = _equal(text, start[entry[twin]], start[entry[lead[same[twin]]]], extent[twin])
+        lone = twin[~equal]  # a collision: sorted for itself
+        for i in np.concatenate([twin[equal], lead[same[twin[equal]]]]).tolist():
+            at_ = number[entry[i]]
+            marks[owner[entry[i]]][at_ : at_ + size[i]] = True
+        lead = np.sort(np.concatenate([lead, lone]))
+    rivals = np.bincount(kind[lead], minlength=len(shared))[kind[lead]] > 1
+    lead = lead[rivals]
+    if not lead.size:
         return marks
-    # Sorted by mergesort within each shared core, of which the first byte order is the key:
-    # suffixes of different cores cannot be equal, so every core sorts for itself.
-    suffix = start[live]
-    for part in _together(np.repeat(kind, size)[live], BUCKET):
+    suffix = np.repeat(start[entry[lead]], size[lead])
+    suffix += np.arange(len(suffix)) - np.repeat(np.cumsum(size[lead]) - size[lead], size[lead])
+    # Suffixes of different cores cannot be equal, so every core is sorted for itself.
+    for part in _together(np.repeat(kind[lead], size[lead]), BUCKET):
         ranked = order.sort(suffix[part])
         a, b = ranked[:-1], ranked[1:]
-        same = np.flatnonzero(order.common(a, b) >= length)
-        span = np.arange(length)
-        for lo in range(0, len(same), 4096):  # collision verification, byte by byte
-            some = same[lo : lo + 4096]
-            equal = (text[a[some][:, None] + span] == text[b[some][:, None] + span]).all(axis=1)
-            hit = np.concatenate([a[some][equal], b[some][equal]])
-            who = np.searchsorted(first, hit, side="right") - 1
-            for context, window in zip(who.tolist(), (hit - first[who]).tolist(), strict=True):
-                marks[context][window] = True
+        near = np.flatnonzero(order.common(a, b) >= length)
+        a, b = a[near], b[near]
+        hit = _equal(text, a, b, np.full(len(a), length))  # collision verification
+        hit = np.unique(np.concatenate([a[hit], b[hit]]))
+        who = np.searchsorted(first, hit, side="right") - 1
+        for context, window in zip(who.tolist(), (hit - first[who]).tolist(), strict=True):
+            marks[context][window] = True
     return marks
 
 
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes at a and b are the same, byte by byte."""
+    out = np.ones(len(a), bool)
+    span = np.arange(int(size.max()) if len(size) else 0)
+    last = len(text) - 1
+    for lo in range(0, len(a), 4096):
+        part = slice(lo, lo + 4096)
+        x = text[np.minimum(a[part][:, None] + span, last)]
+        y = text[np.minimum(b[part][:, None] + span, last)]
+        out[part] = ((x == y) | (span >= size[part][:, None])).all(axis=1)
+    return out
+
+
 def _together(kind: np.ndarray, most: int) -> Iterator[np.ndarray]:
     """Index lists of whole kinds, about ``most`` entries each."""
     order = np.argsort(kind, kind="stable")
@@ -306,26 +332,79 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(sort, _FOUND)
 
 
+def _block_entries(contexts: DataFrame, length: int) -> DataFrame:
+    """Each content's blocks of windows, with digests of the block's core and of all its bytes."""
+    import xxhash
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, digests = [], []
+            columns = (batch[c].to_pylist() for c in ("c1", "c2", "place", "bytes"))
+            for c1, c2, place, value in zip(*columns, strict=True):
+                at, begin, n = place & 255, 0, (place >> 8) & 255
+                while begin < n:
+                    block = (at - begin + 256) // BLOCK
+                    stop = min(n, at + 256 - block * BLOCK + 1)
+                    core = at + 256 - block * BLOCK
+                    core_bytes = value[core : core + length - BLOCK + 1]
+                    digests.append(xxhash.xxh3_128_digest(core_bytes, block))
+                    digests.append(
+                        xxhash.xxh3_128_digest(value[begin : stop - 1 + length], at - begin)
+                    )
+                    rows.append((c1, c2, begin, stop))
+                    begin = stop
+            codes_ = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 4)
+            names = ["c1", "c2", "begin", "stop", "k1", "k2", "u1", "u2"]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            arrays += [pa.array(codes_[:, i]) for i in range(4)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return contexts.mapInArrow(
+        emit, f"{_FOUND}, k1 bigint, k2 bigint, u1 bigint, u2 bigint"
+    )
+
+
 def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of contents under a hot anchor, counted by digest."""
+    """Repeated windows of contents under a hot anchor, counted by digest.
+
+    Whole blocks first; then, of blocks that share a core but differ, the single windows.
+    """
+    columns = ("c1", "c2", "begin", "stop")
+    entries = stage(_block_entries(contexts, length), "suffix-blocks")
+    kinds = entries.groupBy("k1", "k2", "u1", "u2").agg(
+        F.count("*").alias("times"), *[F.first(c).alias(c) for c in columns]
+    )
+    kinds = stage(kinds, "suffix-kinds")
+    again = stage(kinds.filter("times > 1").select("u1", "u2"), "suffix-again")
+    whole = entries.join(again, ["u1", "u2"]).select(*columns)
+    cores = kinds.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1")
+    rivals = kinds.join(stage(cores, "suffix-cores"), ["k1", "k2"])
+    asked = rivals.groupBy("c1", "c2").agg(
+        F.collect_list(F.struct("begin", "stop")).alias("asked")  # at most one per window
+    )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c1, c2, place, value in zip(
-                *(batch[c].to_pylist() for c in ("c1", "c2", "place", "bytes")), strict=True
-            ):
-                n = (place >> 8) & 255
-                digest = _digests(value, np.arange(n), np.ones(n, np.int64), length)
-                columns = (np.full(n, c1), np.full(n, c2), digest[:, 0], digest[:, 1])
-                arrays = [pa.array(np.arange(n), pa.int32()), *(pa.array(x) for x in columns)]
+            names = ("c1", "c2", "bytes", "asked")
+            for c1, c2, value, asked in zip(*(batch[c].to_pylist() for c in names), strict=True):
+                at = np.concatenate([np.arange(x["begin"], x["stop"]) for x in asked])
+                n = len(at)
+                digest = _digests(value, at, np.ones(n, np.int64), length)
+                values = (np.full(n, c1), np.full(n, c2), digest[:, 0], digest[:, 1])
+                arrays = [pa.array(at, pa.int32()), *(pa.array(x) for x in values)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["begin", "c1", "c2", "w1", "w2"])
 
-    windows = contexts.mapInArrow(
-        emit, "begin int, c1 bigint, c2 bigint, w1 bigint, w2 bigint"
+    windows = contexts.join(asked, ["c1", "c2"]).select("c1", "c2", "bytes", "asked")
+    windows = stage(
+        windows.mapInArrow(emit, "begin int, c1 bigint, c2 bigint, w1 bigint, w2 bigint"),
+        "suffix-windows",
     )
-    counts = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
-    found = windows.join(counts, ["w1", "w2"])
-    return found.select("c1", "c2", "begin", (F.col("begin") + 1).cast("int").alias("stop"))
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
+    found = windows.join(stage(twice.select("w1", "w2"), "suffix-twice"), ["w1", "w2"])
+    single = found.select("c1", "c2", "begin", (F.col("begin") + 1).cast("int").alias("stop"))
+    return whole.union(single)
 
 
 # --- whole tables --------------------------------------------------------------------------
@@ -357,7 +436,12 @@ def _contexts(rows: DataFrame, contents: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM
+    docs: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    length: int = LENGTH,
+    gram: int = GRAM,
+    hot: int = HOT,
 ) -> DataFrame:
     """``id, code, spans``: byte spans to remove for each text that has any (they may overlap);
     ``code`` tells apart rows that share a key."""
@@ -365,15 +449,17 @@ def repeated_spans(
         raise ValueError("a window must be longer than its anchor, by less than 255 bytes")
     rows = _coded(docs, text, key)
     table = stage(_run_table(rows, key, length, gram), "suffix-runs")
+    # Counts are staged before a join, so that it reads them apart and its hot keys are split.
     twice = table.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    table = stage(table.join(twice, "anchor"), "suffix-shared")
+    table = stage(table.join(stage(twice, "suffix-anchors"), "anchor"), "suffix-shared")
     one = [F.first(c).alias(c) for c in ("id", "code", "place", "anchor")]
     contents = table.groupBy("c1", "c2").agg(F.count("*").alias("times"), *one)
     contents = stage(contents, "suffix-contents")
     rivals = contents.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    contexts = stage(_contexts(rows, contents.join(rivals, "anchor"), length), "suffix-contexts")
-    found = _compare(contexts.filter(F.col("n") <= HOT), length).union(
-        _count_windows(contexts.filter(F.col("n") > HOT), length)
+    contested = contents.join(stage(rivals, "suffix-rivals"), "anchor")
+    contexts = stage(_contexts(rows, contested, length), "suffix-contexts")
+    found = _compare(contexts.filter(F.col("n") <= hot), length).union(
+        _count_windows(contexts.filter(F.col("n") > hot), length)
     )
     whole = contents.filter("times > 1").select(
         "c1",
@@ -385,7 +471,7 @@ def repeated_spans(
     hits = whole.union(found).groupBy("c1", "c2").agg(
         F.collect_list(F.struct("begin", "stop")).alias("windows")  # at most one per window
     )
-    spans = table.join(hits, ["c1", "c2"]).select(
+    spans = table.join(stage(hits, "suffix-hits"), ["c1", "c2"]).select(
         "id", "code", F.shiftright("place", 16).alias("first"), F.explode("windows").alias("w")
     )
     start, stop = F.col("first") + F.col("w.begin"), F.col("first") + F.col("w.stop") + length - 1
@@ -401,11 +487,16 @@ def _coded(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def remove_repeated(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM
+    docs: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    length: int = LENGTH,
+    gram: int = GRAM,
+    hot: int = HOT,
 ) -> DataFrame:
     """``key``, ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed`` and the maximal
     removed ``spans`` of each row."""
-    spans = repeated_spans(docs, text, key, length, gram)
+    spans = repeated_spans(docs, text, key, length, gram, hot)
     rows = _coded(docs, text, key)
     span = "struct<start:bigint,stop:bigint>"
     kind = f"struct<kept:binary,n_bytes:bigint,n_removed:bigint,spans:array<{span}>>"
