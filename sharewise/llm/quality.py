@@ -33,8 +33,8 @@ from sharewise.llm.text import raw, struct
 
 MIN_WORDS = 50
 COMMON = 0.002
-CHAR_LIMIT = 0.35
-WORD_LIMIT = 0.75
+CHAR_LIMIT = 0.31
+WORD_LIMIT = 0.5
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 #: Words are flushed to Spark's aggregate whenever a task holds so many different ones.
