@@ -30,6 +30,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sharewise.llm.text import decoded, raw
 
@@ -492,24 +493,33 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE, **columns: str
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = compile_template(template)
-        for key, messages in _conversations(batches):
+        for name, messages in _conversations(batches):
             rows: list[tuple] = []
             for at, (piece, marked) in enumerate(run(messages)):
-                rows.append((key, at, piece, marked))
+                rows.append((name, at, piece, marked))
                 if len(rows) == 1000:
-                    yield _rows(rows, ("conv_id", "position", "piece", "marked"))
+                    yield _rows(rows, kinds)
                     rows = []
             if rows:
-                yield _rows(rows, ("conv_id", "position", "piece", "marked"))
+                yield _rows(rows, kinds)
 
-    kind = conversations.schema[columns.get("key", "conv_id")].dataType.simpleString()
-    schema = f"conv_id {kind}, position bigint, piece string, marked boolean"
-    return ordered(conversations, **columns).mapInArrow(render, schema)
+    rows_of, key = ordered(conversations, **columns), _key_field(conversations, **columns)
+    schema = f"conv_id {key[0]}, position bigint, piece string, marked boolean"
+    kinds = {
+        "conv_id": key[1], "position": pa.int64(), "piece": pa.string(), "marked": pa.bool_()
+    }
+    return rows_of.mapInArrow(render, schema)
 
 
-def _rows(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
-    columns = [pa.array(list(c)) for c in zip(*rows, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=list(names))
+def _key_field(conversations: DataFrame, **columns: str) -> tuple[str, pa.DataType]:
+    kind = conversations.schema[columns.get("key", "conv_id")].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
+def _rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(zip(*rows, strict=True), kinds.values(), strict=True)
+    arrays = [pa.array(list(column), kind) for column, kind in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
 
 DIGEST = (
@@ -527,7 +537,7 @@ def digests(conversations: DataFrame, template: str = TEMPLATE, **columns: str)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, rows = compile_template(template), []
-        for key, messages in _conversations(batches):
+        for name, messages in _conversations(batches):
             turns, loss, n, n_loss, n_shown = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
 
             def counted(pieces: Iterator[Piece]) -> Iterator[Piece]:
@@ -540,17 +550,15 @@ def digests(conversations: DataFrame, template: str = TEMPLATE, **columns: str)
                 turns.update(f"{role}\n{text}\n".encode())
                 loss.update(marked.encode())
                 n, n_loss = n + 1, n_loss + len(marked)
-            rows.append((key, n, turns.hexdigest(), n_loss, loss.hexdigest(), n_shown))
+            rows.append((name, n, turns.hexdigest(), n_loss, loss.hexdigest(), n_shown))
             if len(rows) == 1000:
-                yield _digest_batch(rows)
+                yield _rows(rows, kinds)
                 rows = []
         if rows:
-            yield _digest_batch(rows)
-
-    kind = conversations.schema[columns.get("key", "conv_id")].dataType.simpleString()
-    return ordered(conversations, **columns).mapInArrow(read, f"conv_id {kind}, {DIGEST}")
-
+            yield _rows(rows, kinds)
 
-def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ("conv_id", *(part.split(" ")[0] for part in DIGEST.split(", ")))
-    return _rows(rows, names)
+    key = _key_field(conversations, **columns)
+    kinds = {"conv_id": key[1]}
+    for name, kind in (part.split(" ") for part in DIGEST.split(", ")):
+        kinds[name] = pa.int64() if kind == "bigint" else pa.string()
+    return ordered(conversations, **columns).mapInArrow(read, f"conv_id {key[0]}, {DIGEST}")

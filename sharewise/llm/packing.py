@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sharewise.llm.text import decoded, raw
 
@@ -214,6 +215,7 @@ def pack_texts(
     number of the task's partition, so tasks need not agree on anything.
     """
     kind = docs.schema[key].dataType.simpleString()
+    key_type = to_arrow_type(docs.schema[key].dataType)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = tokenizer(tokenizer_path), Packer(limits, pool)
@@ -227,7 +229,7 @@ def pack_texts(
                     yield from packer.add(Piece(name.as_py(), 0, n, n, n, ids))
             yield from packer.flush()
 
-        yield from _numbered(bins(), key)
+        yield from _numbered(bins(), key, key_type)
 
     rows = docs.select(F.col(key).alias("key"), raw(text).alias("text"))
     return rows.mapInArrow(pack, f"{key} {kind}, {SCHEMA}")
@@ -246,6 +248,7 @@ def pack_examples(
     Null counts are zero; an example without a token has no row.
     """
     kind = examples.schema[key].dataType.simpleString()
+    key_type = to_arrow_type(examples.schema[key].dataType)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limits, pool, divisible=False)
@@ -257,7 +260,7 @@ def pack_examples(
                     yield from packer.add(Piece(name, 0, n, bearing, n, b""))
             yield from packer.flush()
 
-        yield from _numbered(bins(), key)
+        yield from _numbered(bins(), key, key_type)
 
     rows = examples.select(
         F.col(key).alias("key"),
@@ -268,7 +271,9 @@ def pack_examples(
     return out.drop("start", "ids_crc32", "doc_tokens")
 
 
-def _numbered(bins: Iterable[list[Piece]], key: str) -> Iterator[pa.RecordBatch]:
+def _numbered(
+    bins: Iterable[list[Piece]], key: str, key_type: pa.DataType
+) -> Iterator[pa.RecordBatch]:
     base = TaskContext.get().partitionId() << 33
     rows: list[tuple] = []
     for number, pieces in enumerate(bins):
@@ -278,14 +283,14 @@ def _numbered(bins: Iterable[list[Piece]], key: str) -> Iterator[pa.RecordBatch]
             rows.append((p.key, p.start, p.length, crc, p.total, base + number, offset, p.loss))
             offset += p.length
         if len(rows) >= 10_000:
-            yield _batch(rows, key)
+            yield _batch(rows, key, key_type)
             rows = []
     if rows:
-        yield _batch(rows, key)
+        yield _batch(rows, key, key_type)
 
 
-def _batch(rows: list[tuple], key: str) -> pa.RecordBatch:
+def _batch(rows: list[tuple], key: str, key_type: pa.DataType) -> pa.RecordBatch:
     names = [key, *(part.split(" ")[0] for part in SCHEMA.split(", "))]
     columns = list(zip(*rows, strict=True))
-    arrays = [pa.array(columns[0]), *(pa.array(c, pa.int64()) for c in columns[1:])]
+    arrays = [pa.array(columns[0], key_type), *(pa.array(c, pa.int64()) for c in columns[1:])]
     return pa.RecordBatch.from_arrays(arrays, names=names)

@@ -123,7 +123,8 @@ def _forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
         while len(front) and len(rest):
             found = []
             for node in front:
-                near = np.bitwise_count(rest ^ node) <= max_bits
+                # Unsigned: of a signed number the bits of its absolute value are counted.
+                near = np.bitwise_count((rest ^ node).view(np.uint64)) <= max_bits
                 if near.any():
                     found.append(rest[near])
                     links.extend((int(node), int(x)) for x in rest[near])

@@ -37,7 +37,7 @@ STEMS = (4, 5, 6, 7)
 PIECE = 1 << 18
 LEAST_ODDS = 20
 #: Occurrences in other texts that a sample without any leaves possible.
-UNSEEN = 3
+UNSEEN = 1
 #: What a sign written for a letter stands for.
 LOOKALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s",
