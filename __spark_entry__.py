@@ -151,7 +151,7 @@ def metadata_snapshot(spark, sf):
 
 
 def target_encoding_holdout(spark, sf):
-    train = src.mirrored(spark, sf)
+    train = src.mirrored_train(spark, sf)
     return rounded(target.target_encoding(src.test(spark, sf), train))
 
 
@@ -183,31 +183,25 @@ def funding_with_repo(spark, sf):
     return funding.funding_with_repo(src.oss_funding(spark, sf), src.repositories(spark, sf))
 
 
-FUNDING_TEXT = """
-    WITH totals AS (
-        SELECT date_trunc('quarter', time) AS quarter, from_project_name AS funder,
-               grant_pool_name, to_project_name AS project, to_project_id,
-               CAST(round(sum(amount)) AS BIGINT) AS total_funding_usd
-        FROM oss_funding GROUP BY ALL
-    ), best AS (
-        SELECT project_id, max(struct(star_count, artifact_url)).artifact_url AS project_repo
-        FROM repositories WHERE NOT is_fork GROUP BY project_id
-    )
-    SELECT best.project_repo, totals.* EXCEPT (to_project_id)
-    FROM totals JOIN best ON totals.to_project_id = best.project_id
-"""
-
-
 def funding_sql(spark, sf):
-    """The same report as SQL text over named tables, without forks."""
-    tables.register_warehouse(
+    """The same report by SQL over named tables, without forks: first each owner's starred
+    repository, then the facts of owners that have one."""
+    owners = tables.warehouse_query(
+        spark,
+        """SELECT project_id, max_by(artifact_url, (star_count, artifact_url)) AS project_repo
+           FROM {repositories} GROUP BY project_id""",
+        repositories=src.repositories(spark, sf).filter("NOT is_fork"),
+    )
+    return tables.warehouse_query(
         spark,
-        {
-            "oss_funding": src.oss_funding(spark, sf),
-            "repositories": src.repositories(spark, sf),
-        },
+        """SELECT project_repo, date_trunc('quarter', time) AS quarter,
+                  from_project_name AS funder, grant_pool_name, to_project_name AS project,
+                  CAST(round(sum(amount)) AS BIGINT) AS total_funding_usd
+           FROM {grants} JOIN {owners} ON project_id = to_project_id
+           GROUP BY project_id, project_repo, quarter, funder, grant_pool_name, project""",
+        grants=src.oss_funding(spark, sf),
+        owners=owners,
     )
-    return tables.warehouse_query(spark, FUNDING_TEXT)
 
 
 def repo_lookup(spark, sf):
@@ -278,18 +272,18 @@ def weight_sum_check(spark, sf):
 
 
 def mirror_check(spark, sf):
-    """On the encoded weights, which unlike the raw ones do not mirror."""
+    """On the encoded weights, which unlike the raw ones do not mirror; default tolerance."""
     encoded = target.target_encoding(src.mirrored(spark, sf))
     frame = encoded.select(*KEY, F.round("project_mean_weight_a", 6).alias("weight_a"))
-    return rounded(consistency.mirror_violations(frame, tol=0.1))
+    return rounded(consistency.mirror_violations(frame))
 
 
 def triples(spark, sf):
-    return rounded(consistency.triples(src.train(spark, sf)))
+    return rounded(consistency.triples(src.compared(spark, sf)))
 
 
 def triple_check(spark, sf):
-    return rounded(consistency.triple_summary(src.train(spark, sf)))
+    return rounded(consistency.triple_summary(src.compared(spark, sf)))
 
 
 # --- training ----------------------------------------------------------------------------
@@ -297,7 +291,7 @@ def triple_check(spark, sf):
 
 def _table(spark, sf, names=TRAINING_FEATURES):
     return training.training_table(
-        src.mirrored(spark, sf), src.dimension(spark, sf), src.AS_OF, names
+        src.mirrored_train(spark, sf), src.dimension(spark, sf), src.AS_OF, names
     )
 
 

@@ -70,5 +70,5 @@ def log1p_or_zero(count: Column) -> Column:
 
 
 def clip_low(value: Column, digits: int = 6) -> Column:
-    """Round half up, then floor at zero. There is no upper bound."""
-    return F.greatest(F.round(value, digits), F.lit(0.0))
+    """Round half up, then floor at zero. There is no upper bound, and null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.round(value, digits), F.lit(0.0)))

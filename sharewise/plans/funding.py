@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sharewise.operators.joins import lookup_join
-
 
 def funding_by_quarter(funding: DataFrame) -> DataFrame:
     """Total per quarter, funder, pool and project, rounded half away from zero."""
@@ -39,10 +37,8 @@ def funding_with_repo(
     """Funding of the projects that have a repository; the project id is dropped."""
     totals = funding_by_quarter(funding)
     repos = top_repo(repositories, urls).withColumnRenamed("project_id", "to_project_id")
-    joined = lookup_join(
-        totals, repos, "to_project_id", ["quarter", "funder", "grant_pool_name"], how="inner"
-    )
-    return joined.drop("to_project_id")
+    # Both sides are aggregates; adaptive execution picks the join from their real sizes.
+    return totals.join(repos, "to_project_id").drop("to_project_id")
 
 
 def repo_lookup(repositories: DataFrame, urls: Sequence[str]) -> DataFrame:

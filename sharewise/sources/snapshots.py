@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a write to ``path`` was committed (its success marker exists)."""
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(
-        marker
-    )
+    """Whether ``path`` holds files that can be read, whoever wrote them."""
+    try:
+        files = spark.read.format("binaryFile").load(path).select("path")
+        return not files.isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
 def _read(spark, path, fmt, schema):
@@ -23,8 +26,8 @@ def _read(spark, path, fmt, schema):
 
 
 def _write(df, path, fmt):
-    # A folder without a success marker is a broken write; replace it.
-    writer = df.write.format(fmt).mode("overwrite")
+    # Never replaces anything: a folder that is there and holds no file is left to its owner.
+    writer = df.write.format(fmt).mode("errorifexists")
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
@@ -35,7 +38,7 @@ def materialize_once(
     schema: T.StructType | None = None,
     fmt: str = "parquet",
 ) -> DataFrame:
-    """The snapshot at ``path`` if one was committed, else ``build()`` written there first.
+    """The snapshot at ``path`` if files are there, else ``build()`` written there first.
 
     A hit does not call ``build`` at all, so it ignores what would have been asked of it.
     """
@@ -47,11 +50,10 @@ def materialize_together(
     builders: dict[str, tuple[Callable[[], DataFrame], T.StructType | None]],
     fmt: str = "parquet",
 ) -> dict[str, DataFrame]:
-    """Snapshots that only count together: unless all are there, all are built again."""
-    hit = all(is_complete(spark, path) for path in builders)
+    """Several snapshots; each that is missing is built, none that is there is touched."""
     out = {}
     for path, (build, schema) in builders.items():
-        if not hit:
+        if not is_complete(spark, path):
             built = build()
             schema = schema or built.schema
             _write(built, path, fmt)

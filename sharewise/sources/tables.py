@@ -50,20 +50,21 @@ def refresh_metadata(
 ) -> DataFrame:
     """The metadata snapshot, topped up with what ``fetch`` lands for projects it lacks.
 
-    Only the missing projects are asked for, and new records are appended, so a refresh costs
-    what is new. An existing snapshot is never rewritten.
+    Only the missing projects are asked for, each once whatever its case, and new records are
+    appended, one per key, so a refresh costs what is new. A snapshot is never rewritten.
     """
     schema = schemas.REPO_METADATA
+    wanted = projects.select(F.lower("project").alias("project")).distinct()
+    have = None
     if is_complete(spark, snapshot):
         have = spark.read.schema(schema).parquet(snapshot)
-        wanted = missing_metadata(
-            projects.select(F.lower("project").alias("project")).distinct(),
-            project_dimension(have),
-        )
-    else:
-        wanted = projects
-    landed = fetch(wanted).filter(F.col("full_name").isNotNull())
-    landed.select(*schema.fieldNames()).write.mode("append").parquet(snapshot)
+        wanted = missing_metadata(wanted, project_dimension(have))
+    landed = fetch(wanted).filter(F.col("full_name").isNotNull()).select(*schema.fieldNames())
+    key = F.lower("full_name")
+    landed = landed.withColumn("__key", key).dropDuplicates(["__key"])
+    if have is not None:  # a renamed project may already be there under its new name
+        landed = landed.join(have.select(key.alias("__key")), "__key", "left_anti")
+    landed.drop("__key").write.mode("append").parquet(snapshot)
     return spark.read.schema(schema).parquet(snapshot)
 
 
@@ -73,11 +74,6 @@ def read_warehouse_table(spark: SparkSession, path: str, name: str) -> DataFrame
     return spark.read.schema(schema).parquet(path)
 
 
-def register_warehouse(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
-    """Name tables for use from SQL text."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-
-
-def warehouse_query(spark: SparkSession, text: str) -> DataFrame:
-    return spark.sql(text)
+def warehouse_query(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """SQL text over tables that it names in braces; no name outlives the statement."""
+    return spark.sql(text, **tables)

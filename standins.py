@@ -3,8 +3,8 @@
 A part stands for a project. Each order is one comparison, between the parts of its most and
 its least valuable line, and the two amounts give the weights; the pair id is the order key.
 Orders first shipped before ``SPLIT`` are training pairs, the others are test pairs. Lines
-of high amount write the project in mixed case; a low amount drops the URL prefix of side b. A part's lines give its repository counts and dates; parts of type PROMO stand for
-repositories whose metadata could not be fetched. Suppliers receive funding and own the
+of high amount write the project in mixed case; a low amount drops the URL prefix of side b.
+A part's lines give its repository counts and dates. Suppliers receive funding and own the
 repositories named after the brands and names of the parts they ship.
 
 Each table has a Spark builder here and, for the oracle, SQL text of its own.
@@ -101,7 +101,16 @@ def test(spark, sf_dir):
     return strip_urls(raw_test(spark, sf_dir))
 
 
+def compared(spark, sf_dir):
+    """All pairs, with project ids and weights."""
+    return strip_urls(all_pairs(spark, sf_dir).drop("shipped"))
+
+
 def mirrored(spark, sf_dir):
+    return mirror(compared(spark, sf_dir))
+
+
+def mirrored_train(spark, sf_dir):
     return mirror(train(spark, sf_dir))
 
 
@@ -124,7 +133,7 @@ def repo_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines(F.col("l_returnflag") == "N").alias("subscribers_count"),
     )
     size = F.col("p_size")
-    parts = read(spark, sf_dir, "part").filter(F.col("p_type") != "PROMO")
+    parts = read(spark, sf_dir, "part")
     return parts.join(counts, F.col("p_partkey") == F.col("l_partkey")).select(
         F.concat(F.lit("Org/Part-"), F.col("p_partkey").cast("string")).alias("full_name"),
         (size == 1).alias("private"),
@@ -178,9 +187,9 @@ def oss_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owned by suppliers in credit only, so that some funded projects have none."""
+    """Owned by the suppliers that ship a part."""
     li, part, supplier = (read(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
-    owners = supplier.filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    owners = supplier.select(F.col("s_suppkey").alias("l_suppkey"))
     url = F.concat(
         F.lit("https://github.com/"), F.lower("p_brand"), F.lit("/"),
         F.replace(F.col("p_name"), F.lit(" "), F.lit("-")),
@@ -219,10 +228,10 @@ def model_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training pairs with two simple predictions: star share and size share of side a."""
+    """All pairs with two simple predictions: star share and size share of side a."""
     from sharewise.plans.features import pair_features
 
-    df = pair_features(train(spark, sf_dir), dimension(spark, sf_dir), AS_OF)
+    df = pair_features(compared(spark, sf_dir), dimension(spark, sf_dir), AS_OF)
 
     def usable(share):
         value = F.nanvl(F.col(share), F.lit(None).cast("double"))
@@ -276,7 +285,15 @@ _TABLES_SQL = {
         SELECT id, split(project_a, 'github.com/')[-1] AS project_a,
                split(project_b, 'github.com/')[-1] AS project_b
         FROM raw_test""",
+    "compared": """
+        SELECT id, split(project_a, 'github.com/')[-1] AS project_a,
+               split(project_b, 'github.com/')[-1] AS project_b, weight_a, weight_b
+        FROM all_pairs""",
     "mirrored": """
+        SELECT id, project_a, project_b, weight_a, weight_b FROM compared
+        UNION ALL
+        SELECT id, project_b, project_a, weight_b, weight_a FROM compared""",
+    "mirrored_train": """
         SELECT id, project_a, project_b, weight_a, weight_b FROM train
         UNION ALL
         SELECT id, project_b, project_a, weight_b, weight_a FROM train""",
@@ -298,7 +315,6 @@ _TABLES_SQL = {
                count(*) FILTER (l_quantity > 48 AND l_tax > 0.055) AS open_issues_count,
                count(*) FILTER (l_returnflag = 'N') AS subscribers_count
         FROM lineitem JOIN part ON l_partkey = p_partkey
-        WHERE p_type <> 'PROMO'
         GROUP BY p_partkey, p_name, p_type, p_size, p_retailprice""",
     "dimension": """
         SELECT lower(full_name) AS project_id, private AS is_private, description, created_at,
@@ -325,7 +341,6 @@ _TABLES_SQL = {
                count(*) AS fork_count, min(l_shipdate) AS created_at,
                max(l_shipdate) AS updated_at
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-        WHERE s_acctbal >= 0
         GROUP BY ALL""",
     "feature_gain": """
         SELECT p_brand || ' ' || p_type AS feature,
@@ -345,7 +360,8 @@ def with_tables(text: str, *names: str) -> str:
     """Oracle text with the named stand-in tables (and what they need) put before it."""
     needs = {
         "all_pairs": ["ranked"], "raw_train": ["all_pairs"], "raw_test": ["all_pairs"],
-        "train": ["raw_train"], "test": ["raw_test"], "mirrored": ["train"],
+        "train": ["raw_train"], "test": ["raw_test"], "compared": ["all_pairs"],
+        "mirrored": ["compared"], "mirrored_train": ["train"],
         "dimension": ["repo_metadata"],
     }
     ordered: list[str] = []

@@ -29,9 +29,10 @@ def test_pairs_are_built_once_and_only_together(spark, pair_frame, tmp_path):
         assert [tuple(r) for r in got[0].collect()] == [(1, "a/b", "c/d", 0.25, 0.75)]
         assert [tuple(r) for r in got[1].collect()] == [(2, "x/y", "c/d")]
     assert calls == ["train", "test"]
+    # Files without a success marker (copied in by hand) are a hit too, and never replaced.
     (tmp_path / "raw" / "test" / "_SUCCESS").unlink()
     tables.load_pairs(spark, raw, train, test)
-    assert calls == ["train", "test"] * 2
+    assert calls == ["train", "test"]
     plain = tables.read_pairs_csv(spark, f"{raw}/dataset").first()
     assert plain.project_a == "https://github.com/a/b"
 
@@ -76,6 +77,28 @@ def test_metadata_refresh_asks_only_for_what_is_missing(spark, tmp_path):
     assert stars == {"a/b": 5, "c/d": 7}
 
 
+def test_metadata_refresh_lands_a_key_once(spark, tmp_path):
+    asked = []
+
+    def fetch(wanted):
+        names = sorted(r.project for r in wanted.collect())
+        asked.append(names)
+        records = [{"full_name": "New/Name" if n == "old/name" else n} for n in names * 2]
+        return tables.read_metadata_json(spark, landed(tmp_path, f"b{len(asked)}", records))
+
+    both = spark.createDataFrame([("Foo/Bar",), ("foo/bar",), ("old/name",)], "project string")
+    snapshot = str(tmp_path / "meta")
+    for _ in range(2):
+        got = tables.refresh_metadata(spark, snapshot, both, fetch)
+        assert sorted(r.full_name for r in got.collect()) == ["New/Name", "foo/bar"]
+    assert asked[0] == ["foo/bar", "old/name"]
+
+
+def test_a_missing_prediction_stays_missing(spark):
+    df = spark.createDataFrame([(1, None), (2, -0.5)], "id long, prediction double")
+    assert {r.id: r.pred for r in sinks.submission(df).collect()} == {1: None, 2: 0.0}
+
+
 def test_submission_sink_keeps_metrics_beside(spark, tmp_path):
     df = spark.createDataFrame([(1, -0.1), (2, 1.3)], "id long, prediction double")
     metrics = spark.createDataFrame([(0.5,)], "mean_mse double")
@@ -149,9 +172,8 @@ def test_report_as_sql_over_named_tables(spark, warehouse, tmp_path):
     warehouse[0].write.parquet(str(tmp_path / "funding"))
     facts = tables.read_warehouse_table(spark, str(tmp_path / "funding"), "oss_funding")
     assert facts.schema == schemas.OSS_FUNDING
-    tables.register_warehouse(spark, {"facts": facts})
-    text = "SELECT * EXCEPT (to_project_id) FROM facts WHERE to_project_id = 2"
-    rows = tables.warehouse_query(spark, text).collect()
+    text = "SELECT * EXCEPT (to_project_id) FROM {facts} WHERE to_project_id = 2"
+    rows = tables.warehouse_query(spark, text, facts=facts).collect()
     assert [(r.to_project_name, r.amount) for r in rows] == [("q", 9.0)]
 
 
