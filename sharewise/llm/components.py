@@ -3,7 +3,8 @@
 Alternating large-star and small-star rounds: each is an aggregate and a join, the links shrink
 towards stars, and every round is written to the shared folder, so lineage stays short and a
 lost executor costs a round at most. Nothing but the count of links and a checksum reaches the
-driver.
+driver. A node that a large part of all links meet in (the centre of a star) is split by the
+lookup, so no task gets all of its links.
 """
 
 from __future__ import annotations
@@ -11,26 +12,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sharewise.operators.joins import lookup_join
 from sharewise.session import stage
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("least"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``u, v, least``: each link and the smallest neighbour of its ``u``."""
+    nodes = edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("__n"))
+    return lookup_join(edges, nodes.drop("__n"), "u", ["v"], how="inner", counts=nodes)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    moved = both.join(_least(both), "u").filter("v > u")
+    moved = _with_least(both).filter("v > u")
     return moved.select(F.col("v").alias("u"), F.least("least", "u").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of these neighbours."""
-    least = _least(edges)
-    moved = edges.join(least, "u").filter("v <> least")
-    moved = moved.select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.union(least.select("u", F.col("least").alias("v"))).distinct()
+    found = _with_least(edges)
+    # The link to the least neighbour itself stays, all others turn to it.
+    moved = F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v"))
+    return found.select(moved.alias("u"), F.col("least").alias("v")).distinct()
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -14,7 +14,8 @@ Skew. Equal fingerprints are one node. Keys that many different fingerprints sha
 near copies) are not joined: their fingerprints are dealt by every choice of 16 - ``max_bits``
 exact nibbles instead, which any linked pair shares, and of which a group holds at most
 ``16 ** max_bits`` fingerprints whatever the data (4,096 for three bits). A group yields the
-links of a spanning forest, not all pairs, so links grow with the rows and none is lost.
+links of a spanning forest, not all pairs, so links grow with the rows and none is lost. A key,
+fingerprint or component that holds more than a task's load is split where it is looked up.
 
 Defined results: a null text is an empty one; a text without a word has fingerprint zero,
 linked like any other; with fewer words than a shingle all words are one shingle. Repeated rows
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from sharewise.llm.components import connected
 from sharewise.llm.text import raw
+from sharewise.operators.joins import lookup_join
 from sharewise.session import stage
 
 SEED = 42
@@ -167,9 +169,12 @@ def links(
         *[F.struct(F.lit(k).alias("way"), _long(m).alias("mask")) for k, (m, _) in enumerate(ways)]
     )
     keys = nodes.select("fp", F.explode(steps).alias("step"))
-    keys = keys.select("fp", "step.way", F.col("fp").bitwiseAND(F.col("step.mask")).alias("key"))
-    shared = keys.groupBy("way", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stage(keys.join(shared, ["way", "key"]), "simhash-keys")
+    masked = F.col("fp").bitwiseAND(F.col("step.mask"))
+    keys = keys.select("fp", F.struct("step.way", masked.alias("key")).alias("spot"))
+    shared = keys.groupBy("spot").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = shared.withColumnRenamed("n", "__n")
+    members = lookup_join(keys, shared, "spot", ["fp"], how="inner", counts=counts)
+    members = stage(members.select("fp", "spot.way", "spot.key", "n"), "simhash-keys")
     cold = members.filter(F.col("n") <= hot)
     pairs = cold.select("way", "key", F.col("fp").alias("a")).join(
         cold.select("way", "key", F.col("fp").alias("b")), ["way", "key"]
@@ -197,9 +202,14 @@ def near_duplicates(
     nodes = stage(prints.groupBy("fp").agg(F.min("key").alias("least")), "simhash-nodes")
     roots = connected(links(nodes, max_bits)).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(placed, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    named = placed.groupBy("root").agg(
+        F.min("least").alias("component_id"), F.count("*").alias("__n")
+    )
+    placed = lookup_join(
+        placed.select("fp", "root"), named.drop("__n"), "root", ["fp"], how="inner", counts=named
+    ).select("fp", "component_id")
+    found = lookup_join(prints, placed, "fp", ["key"], how="inner")
+    return found.select(F.col("key").alias(key), "fp", "component_id")
 
 
 def as_hex(fp: Column | str) -> Column:

@@ -24,6 +24,7 @@ from sharewise.llm import (
     toxicity,
 )
 from sharewise.llm.components import connected
+from sharewise.operators import joins
 
 DOCS = "doc_id bigint, text string"
 ODD = [(1, None), (2, ""), (3, "   \n\t"), (3, "   \n\t"), (None, "x"), (4, "word " * 60_000)]
@@ -211,6 +212,25 @@ def test_simhash_groups(spark):
     assert simhash.near_duplicates(df.filter("false")).count() == 0
 
 
+@pytest.fixture
+def split_hard(spark, monkeypatch):
+    """No broadcast by size, and keys of more than five rows cut into shares."""
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_simhash_groups_with_split_keys(spark, split_hard):
+    test_simhash_groups(spark)
+
+
+def test_components_of_a_star_with_split_centre(spark, split_hard):
+    rows = [(0, i) for i in range(1, 80)] + [(i, i + 200) for i in range(1, 80)]
+    found = connected(spark.createDataFrame(rows, "a bigint, b bigint")).collect()
+    assert len(found) == 159 and {r.root for r in found} == {0}
+
+
 def test_components_of_a_long_chain(spark):
     rows = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (101, 100)]
     found = connected(spark.createDataFrame(rows, "a bigint, b bigint")).collect()
