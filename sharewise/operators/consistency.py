@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sharewise.operators.joins import key_counts, lookup_join
+from sharewise.session import stage
 
 TOLERANCE = 1e-6
 
@@ -79,62 +80,66 @@ def _step(w_from, w_to):
     return F.when((w_from > 0) & (w_to > 0), F.ln(w_to) - F.ln(w_from))
 
 
-def triples(pairs: DataFrame) -> DataFrame:
-    """Every triple of projects compared all three ways, with two verdicts.
-
-    ``log_gap`` is |ln(c/a) - ln(c/b) - ln(b/a)|: zero when the ratios multiply up.
-    ``order_violation``: some x > y and y > z without x > z.
-
-    Each edge points from its less compared to its more compared end, so a project compared
-    with a third of all others keeps few outgoing edges: with m edges no project has more than
-    sqrt(2 m). These bounded lists of ends meet at every edge, and what both ends of the edge
-    point to are the third corners: no pair of edges is emitted that does not close. A
-    project that very many edges point to is split by the lookup.
-    """
-    e = edges(pairs)
+def _directed(pairs: DataFrame) -> DataFrame:
+    """``u, v, uv``: each edge from its less to its more compared end, with the sign and the
+    log of the step along it."""
+    e = stage(edges(pairs), "edges")
     ends = e.select(F.explode(F.array("x", "y")).alias("project"))
-    degree = ends.groupBy("project").agg(F.count(F.lit(1)).alias("degree"))
+    degree = stage(ends.groupBy("project").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     ranked = e
     for end, other in (("x", "y"), ("y", "x")):
         ranks = degree.select(F.col("project").alias(end), F.col("degree").alias(f"d{end}"))
-        ranked = lookup_join(ranked, ranks, end, [other])
+        counts = degree.select(F.col("project").alias(end), F.col("degree").alias("__n"))
+        ranked = lookup_join(ranked, ranks, end, [other], counts=counts)
     dx, dy = F.col("dx"), F.col("dy")
     up = (dx < dy) | ((dx == dy) & (F.col("x") < F.col("y")))
     tail, head = (
         F.when(up, F.col(first)).otherwise(F.col(second))
         for first, second in (("wx", "wy"), ("wy", "wx"))
     )
-    out = ranked.select(
+    return ranked.select(
         F.when(up, F.col("x")).otherwise(F.col("y")).alias("u"),
         F.when(up, F.col("y")).otherwise(F.col("x")).alias("v"),
         F.struct(F.sign(head - tail).alias("sign"), _step(tail, head).alias("log")).alias("uv"),
     )
-    lists = out.groupBy("u").agg(
-        F.map_from_entries(F.collect_list(F.struct("v", "uv"))).alias("ends")
-    )
-    from_u = lists.withColumnRenamed("ends", "from_u")
-    from_v = lists.select(F.col("u").alias("v"), F.col("ends").alias("from_v"))
-    met = lookup_join(out, from_u, "u", ["v"], how="inner")
-    met = lookup_join(met, from_v, "v", ["u"], how="inner", counts=key_counts(out, "v"))
-    shared = F.array_intersect(F.map_keys("from_u"), F.map_keys("from_v"))
-    closed = F.transform(
-        shared,
-        lambda w: F.struct(
-            w.alias("w"),
-            F.element_at("from_v", w).alias("vw"),
-            F.element_at("from_u", w).alias("uw"),
-        ),
-    )
-    cycle = met.select("u", "v", "uv", F.inline(closed))
+
+
+def triples(pairs: DataFrame) -> DataFrame:
+    """Every triple of projects compared all three ways, with two verdicts.
+
+    ``log_gap`` is |ln(c/a) - ln(c/b) - ln(b/a)|: zero when the ratios multiply up.
+    ``order_violation``: some x > y and y > z without x > z.
+
+    Each edge points from its less compared to its more compared end, so a project compared
+    with a third of all others keeps few outgoing edges: with m edges no project has more than
+    sqrt(2 m). These bounded lists of names meet at every edge that can close, and what both
+    ends of the edge point to are the third corners: no pair of edges is emitted that does not
+    close. The weights of the other two sides are joined to closed triples only. A project
+    that very many edges point to is split by the lookup. The directed edges are staged once,
+    so building the plan does not repeat what led to them.
+    """
+    out = stage(_directed(pairs), "edges")
+    corners = out.groupBy("u").agg(F.collect_list("v").alias("ends"))
+    to_v = key_counts(out, "v")
+    # An edge closes only if its low end has another edge and its high end has any.
+    from_u = corners.filter("size(ends) > 1").withColumnRenamed("ends", "from_u")
+    from_v = corners.select(F.col("u").alias("v"), F.col("ends").alias("from_v"))
+    met = lookup_join(out, from_v, "v", ["u"], how="inner", counts=to_v)
+    met = lookup_join(met, from_u, "u", ["v"], how="inner", counts=key_counts(out, "u"))
+    shared = F.array_intersect("from_u", "from_v")
+    closed = met.select("u", "v", "uv", F.explode(shared).alias("w"))
+    vw = out.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("uv").alias("vw"))
+    uw = out.select("u", F.col("v").alias("w"), F.col("uv").alias("uw"))
+    cycle = closed.join(vw, ["v", "w"]).join(uw, ["u", "w"])
     # Walking u -> v -> w -> u, the last step goes against its edge.
     steps = [F.col("uv.sign"), F.col("vw.sign"), -F.col("uw.sign")]
     ups = sum((s > 0).cast("int") for s in steps)
     downs = sum((s < 0).cast("int") for s in steps)
-    corners = F.array_sort(F.array("u", "v", "w"))
+    names = F.array_sort(F.array("u", "v", "w"))
     return cycle.select(
-        corners[0].alias("a"),
-        corners[1].alias("b"),
-        corners[2].alias("c"),
+        names[0].alias("a"),
+        names[1].alias("b"),
+        names[2].alias("c"),
         F.abs(F.col("uv.log") + F.col("vw.log") - F.col("uw.log")).alias("log_gap"),
         (((ups >= 2) & (downs == 0)) | ((downs >= 2) & (ups == 0))).alias("order_violation"),
     )

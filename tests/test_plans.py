@@ -12,7 +12,7 @@ from sharewise.operators.pareto import pareto_front
 from sharewise.operators.target import target_encoding
 
 # Queries that write or fit when they are built, not when they are run.
-EAGER = {"pairs_snapshot", "metadata_snapshot"}
+EAGER = {"pairs_snapshot", "metadata_snapshot", "triples", "triple_check"}
 LAZY = sorted(set(entry.oracle_sql()) - EAGER)
 BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "SortAggregate")
 
@@ -64,6 +64,16 @@ def split_hard(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_triples_plan_starts_at_the_staged_edges(spark, smoke_dir, split_hard):
+    df = entry.queries()["triple_check"](spark, smoke_dir)
+    text = plan(df)
+    assert "lineitem" not in text and not [b for b in BANNED if b in text]
+    assert "map_from_entries" not in text and text.count("FileScan") <= 24
+    split = values(df)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert split == values(entry.queries()["triple_check"](spark, smoke_dir))
+
+
 @pytest.fixture(scope="module")
 def hub_pairs(pair_frame):
     """A third of the pairs share one project, and a third are copies of one pair."""
