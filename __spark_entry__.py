@@ -29,7 +29,6 @@ from sharewise.operators import (  # noqa: E402
 )
 from sharewise.plans import decorrelate, funding, training  # noqa: E402
 from sharewise.plans.features import (  # noqa: E402
-    SHORT_FEATURES,
     TRAINING_FEATURES,
     assembler,
     fill_missing,
@@ -50,10 +49,11 @@ except ModuleNotFoundError as missing:
 SMOKE_DIR = "/root/testdata/sf0.001"
 KEY = ("id", "project_a", "project_b")
 ALPHA = 0.001
-# Small settings, so that the training queries show the whole path in seconds.
-TREES = {"maxIter": 3, "maxDepth": 4, "stepSize": 0.1}
-BOOST = {"step": 0.3, "tree_params": {"maxDepth": 4}}
-SWEEP_ALPHAS = (0.0, 0.0005, 0.001)
+# Fewer rounds and trials than the library's defaults, which take hours on one machine.
+TREES = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1}
+BOOST = {"rounds": 10, "step": 0.3, "tree_params": {"maxDepth": 4}}
+SEARCH = {"trials": 5, "rounds": 5}
+PARALLEL_TREES = 4
 
 
 def rounded(df: DataFrame, keep=(), digits: int = 6) -> DataFrame:
@@ -295,9 +295,15 @@ def _table(spark, sf, names=TRAINING_FEATURES):
     )
 
 
+def _selected(spark, sf):
+    """The training table and the columns that a preliminary model selects from all 68."""
+    table = _table(spark, sf)
+    selection = training.select_features(table, TRAINING_FEATURES, params=TREES)
+    return table, training.selected_names(selection)
+
+
 def gbt_cv(spark, sf):
-    table = _table(spark, sf, SHORT_FEATURES)
-    return training.cross_validate(table, SHORT_FEATURES, TREES)
+    return training.cross_validate(*_selected(spark, sf), TREES)
 
 
 def feature_selection(spark, sf):
@@ -306,41 +312,40 @@ def feature_selection(spark, sf):
 
 
 def random_search(spark, sf):
-    names = ["stars_ratio", "size_ratio", "watchers_ratio", "forks_ratio", "age_days"]
-    return training.random_search(_table(spark, sf, names), names, trials=2, k=5, rounds=2)
+    return training.random_search(*_selected(spark, sf), **SEARCH)
 
 
 def gbt_submission(spark, sf):
-    table = _table(spark, sf)
-    selection = training.select_features(table, TRAINING_FEATURES, params=TREES)
-    names = training.selected_names(selection)
+    table, names = _selected(spark, sf)
     model = training.fit(table, names, TREES)
     test = pair_features(src.test(spark, sf), src.dimension(spark, sf), src.AS_OF)
     return sinks.submission(training.predict(model, test, names))
 
 
 def _base(spark, sf):
-    """Base model on the short list, the training rows scored by it, and the test vectors."""
-    table = _table(spark, sf, SHORT_FEATURES)
-    model = training.fit(table, SHORT_FEATURES, TREES)
+    """Base model on the selected columns, the training rows scored by it, and the test
+    vectors."""
+    table, names = _selected(spark, sf)
+    model = training.fit(table, names, TREES)
     test = pair_features(src.test(spark, sf), src.dimension(spark, sf), src.AS_OF)
-    test = fill_missing(numeric_columns(test, SHORT_FEATURES, ["id"]), SHORT_FEATURES)
-    vectors = assembler(SHORT_FEATURES).transform(test).select("id", "features")
-    return decorrelate.with_base(fill_missing(table, SHORT_FEATURES), model), vectors
+    test = fill_missing(numeric_columns(test, names, ["id"]), names)
+    vectors = assembler(names).transform(test).select("id", "features")
+    return decorrelate.with_base(fill_missing(table, names), model), vectors
 
 
 def decorrelated_boost(spark, sf):
     scored, _ = _base(spark, sf)
-    model = decorrelate.boost_diverse(scored, ALPHA, rounds=4, **BOOST)
+    model = decorrelate.boost_diverse(scored, ALPHA, **BOOST)
     return diversity.diversity_metric(model.transform(scored))
 
 
+def _sweep(spark, sf):
+    """Statistics and test scores of all eleven alphas."""
+    return decorrelate.sweep(*_base(spark, sf), parallelism=PARALLEL_TREES, **BOOST)
+
+
 def alpha_sweep(spark, sf):
-    scored, test = _base(spark, sf)
-    stats, _ = decorrelate.sweep(
-        scored, test, SWEEP_ALPHAS, rounds=3, parallelism=len(SWEEP_ALPHAS), **BOOST
-    )
-    return stats
+    return _sweep(spark, sf)[0]
 
 
 def alpha_sweep_front(spark, sf):
@@ -350,10 +355,7 @@ def alpha_sweep_front(spark, sf):
 
 def alpha_submissions(spark, sf):
     """The sweep's predictions for the test pairs, written by alpha and read back."""
-    scored, test = _base(spark, sf)
-    stats, scores = decorrelate.sweep(
-        scored, test, SWEEP_ALPHAS, rounds=2, parallelism=len(SWEEP_ALPHAS), **BOOST
-    )
+    stats, scores = _sweep(spark, sf)
     path = scratch_path(spark, "sweep")
     sinks.write_sweep(scores, stats, path)
     schema = "id bigint, pred double, alpha double"
