@@ -13,122 +13,122 @@ from sharewise.operators.metadata import attach_metadata
 
 # The training columns, in order. Decay columns spell the rate with an
 # underscore, because a dot in a column name needs quoting.
-TRAINING_FEATURES = """
-    is_private
-    has_homepage
-    size
-    stars
-    watchers
-    has_projects
-    has_pages
-    has_wiki
-    has_discussions
-    forks
-    is_archived
-    is_disabled
-    open_issues
-    subscribers_count
-    is_private_b
-    has_homepage_b
-    size_b
-    stars_b
-    watchers_b
-    has_projects_b
-    has_pages_b
-    has_wiki_b
-    has_discussions_b
-    forks_b
-    is_archived_b
-    is_disabled_b
-    open_issues_b
-    subscribers_count_b
-    age_days
-    age_days_b
-    days_since_update
-    days_since_update_b
-    stars_decay_0_0001
-    stars_decay_b_0_0001
-    forks_decay_0_0001
-    forks_decay_b_0_0001
-    issues_decay_0_0001
-    issues_decay_b_0_0001
-    stars_decay_0_001
-    stars_decay_b_0_001
-    forks_decay_0_001
-    forks_decay_b_0_001
-    issues_decay_0_001
-    issues_decay_b_0_001
-    stars_decay_0_01
-    stars_decay_b_0_01
-    forks_decay_0_01
-    forks_decay_b_0_01
-    issues_decay_0_01
-    issues_decay_b_0_01
-    stars_ratio
-    watchers_ratio
-    forks_ratio
-    size_ratio
-    stars_forks_interaction
-    stars_forks_interaction_b
-    engagement_score
-    engagement_score_b
-    stars_per_day
-    stars_per_day_b
-    forks_per_day
-    forks_per_day_b
-    log_stars
-    log_stars_b
-    log_watchers
-    log_watchers_b
-    log_forks
-    log_forks_b
-""".split()
+TRAINING_FEATURES = [
+    "is_private",
+    "has_homepage",
+    "size",
+    "stars",
+    "watchers",
+    "has_projects",
+    "has_pages",
+    "has_wiki",
+    "has_discussions",
+    "forks",
+    "is_archived",
+    "is_disabled",
+    "open_issues",
+    "subscribers_count",
+    "is_private_b",
+    "has_homepage_b",
+    "size_b",
+    "stars_b",
+    "watchers_b",
+    "has_projects_b",
+    "has_pages_b",
+    "has_wiki_b",
+    "has_discussions_b",
+    "forks_b",
+    "is_archived_b",
+    "is_disabled_b",
+    "open_issues_b",
+    "subscribers_count_b",
+    "age_days",
+    "age_days_b",
+    "days_since_update",
+    "days_since_update_b",
+    "stars_decay_0_0001",
+    "stars_decay_b_0_0001",
+    "forks_decay_0_0001",
+    "forks_decay_b_0_0001",
+    "issues_decay_0_0001",
+    "issues_decay_b_0_0001",
+    "stars_decay_0_001",
+    "stars_decay_b_0_001",
+    "forks_decay_0_001",
+    "forks_decay_b_0_001",
+    "issues_decay_0_001",
+    "issues_decay_b_0_001",
+    "stars_decay_0_01",
+    "stars_decay_b_0_01",
+    "forks_decay_0_01",
+    "forks_decay_b_0_01",
+    "issues_decay_0_01",
+    "issues_decay_b_0_01",
+    "stars_ratio",
+    "watchers_ratio",
+    "forks_ratio",
+    "size_ratio",
+    "stars_forks_interaction",
+    "stars_forks_interaction_b",
+    "engagement_score",
+    "engagement_score_b",
+    "stars_per_day",
+    "stars_per_day_b",
+    "forks_per_day",
+    "forks_per_day_b",
+    "log_stars",
+    "log_stars_b",
+    "log_watchers",
+    "log_watchers_b",
+    "log_forks",
+    "log_forks_b",
+]
 
 # The older, shorter list, without its four columns that no longer exist.
-SHORT_FEATURES = """
-    is_private
-    has_homepage
-    size
-    stars
-    watchers
-    has_projects
-    has_pages
-    has_wiki
-    has_discussions
-    forks
-    is_archived
-    is_disabled
-    open_issues
-    subscribers_count
-    is_private_b
-    has_homepage_b
-    size_b
-    stars_b
-    watchers_b
-    has_projects_b
-    has_pages_b
-    has_wiki_b
-    has_discussions_b
-    forks_b
-    is_archived_b
-    is_disabled_b
-    open_issues_b
-    subscribers_count_b
-    stars_ratio
-    watchers_ratio
-    forks_ratio
-    size_ratio
-    age_days
-    age_days_b
-    days_since_update
-    days_since_update_b
-    log_stars
-    log_stars_b
-    log_watchers
-    log_watchers_b
-    log_forks
-    log_forks_b
-""".split()
+SHORT_FEATURES = [
+    "is_private",
+    "has_homepage",
+    "size",
+    "stars",
+    "watchers",
+    "has_projects",
+    "has_pages",
+    "has_wiki",
+    "has_discussions",
+    "forks",
+    "is_archived",
+    "is_disabled",
+    "open_issues",
+    "subscribers_count",
+    "is_private_b",
+    "has_homepage_b",
+    "size_b",
+    "stars_b",
+    "watchers_b",
+    "has_projects_b",
+    "has_pages_b",
+    "has_wiki_b",
+    "has_discussions_b",
+    "forks_b",
+    "is_archived_b",
+    "is_disabled_b",
+    "open_issues_b",
+    "subscribers_count_b",
+    "stars_ratio",
+    "watchers_ratio",
+    "forks_ratio",
+    "size_ratio",
+    "age_days",
+    "age_days_b",
+    "days_since_update",
+    "days_since_update_b",
+    "log_stars",
+    "log_stars_b",
+    "log_watchers",
+    "log_watchers_b",
+    "log_forks",
+    "log_forks_b",
+]
 
 MISSING = -1.0
 
