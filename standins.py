@@ -1,9 +1,9 @@
 """Inputs of the library's operators, derived from whole driver tables.
 
-A part stands for a project. Each order is one comparison, between the parts of its most and
-its least valuable line, and the two amounts give the weights; the pair id is the order key.
-Orders first shipped before ``SPLIT`` are training pairs, the others are test pairs. Lines
-of high amount write the project in mixed case; a low amount drops the URL prefix of side b.
+A part stands for a project. Each two lines of an order that were shipped one after the other
+are a comparison of their parts, and the two amounts give the weights; the pair id is the order
+key with the line's place in the order. Pairs first shipped before ``SPLIT`` are training pairs,
+the others are test pairs. Lines of high amount write the project in mixed case; a low amount drops the URL prefix of side b.
 A part's lines give its repository counts and dates. Suppliers receive funding and own the
 repositories named after the brands and names of the parts they ship.
 
@@ -13,6 +13,7 @@ Each table has a Spark builder here and, for the oracle, SQL text of its own.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sharewise.operators.metadata import project_dimension
@@ -24,6 +25,8 @@ SPLIT = "1997-02-01 00:00:00"
 MIXED_ABOVE = 8_000_000
 PREFIX_ABOVE = 2_000_000
 PART_BITS = 32
+#: Places that the pair id keeps for the lines of an order.
+LINES = 1024
 LOOKUP_URLS = ("https://github.com/brand#1/blue-rod", "https://github.com/brand#1/hot-gear")
 
 
@@ -37,26 +40,28 @@ def _cents(column: str):
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass and one shuffle: an order's two lines come from map-side max and min.
+    """One pass and one shuffle: an order's lines lie together, each beside the next one.
 
-    Amount and part share one long (amount first), because a struct would make the
-    aggregation sort where a long lets it hash.
+    Amount and part share one long (amount first), which keeps the sorted rows narrow.
     """
     line = F.shiftleft(_cents("l_extendedprice"), PART_BITS).bitwiseOR(F.col("l_partkey"))
-    orders = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.max(line).alias("hi"), F.min(line).alias("lo"), F.min("l_shipdate").alias("shipped")
+    in_order = W.partitionBy("l_orderkey").orderBy("shipped", "this")
+    lines = (
+        read(spark, sf_dir, "lineitem")
+        .select("l_orderkey", F.col("l_shipdate").alias("shipped"), line.alias("this"))
+        .withColumns({"place": F.row_number().over(in_order), "next": F.lead("this").over(in_order)})
     )
 
     def part(packed):
         return packed.bitwiseAND(F.lit((1 << PART_BITS) - 1))
 
-    hi, lo = F.col("hi"), F.col("lo")
-    swap = part(hi) > part(lo)
-    ends = orders.filter(part(hi) != part(lo)).select(
-        F.col("l_orderkey").alias("id"),
+    this, following = F.col("this"), F.col("next")
+    swap = part(this) > part(following)
+    ends = lines.filter(part(this) != part(following)).select(
+        (F.col("l_orderkey") * LINES + F.col("place")).alias("id"),
         "shipped",
-        F.when(swap, lo).otherwise(hi).alias("a"),
-        F.when(swap, hi).otherwise(lo).alias("b"),
+        F.when(swap, following).otherwise(this).alias("a"),
+        F.when(swap, this).otherwise(following).alias("b"),
     )
     ends = ends.select(
         "id",
@@ -257,20 +262,16 @@ _TABLES_SQL = {
                  || CAST(b.part AS VARCHAR) AS project_b,
                CAST(a.cents AS DOUBLE) / CAST(a.cents + b.cents AS DOUBLE) AS weight_a,
                CAST(b.cents AS DOUBLE) / CAST(a.cents + b.cents AS DOUBLE) AS weight_b
-        FROM (SELECT hi.id, hi.shipped,
-                     CASE WHEN hi.line.part > lo.line.part THEN lo.line ELSE hi.line END AS a,
-                     CASE WHEN hi.line.part > lo.line.part THEN hi.line ELSE lo.line END AS b
-              FROM (SELECT id, shipped, line FROM ranked WHERE from_top = 1) hi
-              JOIN (SELECT id, line FROM ranked WHERE from_bottom = 1) lo ON hi.id = lo.id
-              WHERE hi.line.part <> lo.line.part)""",
+        FROM (SELECT one.l_orderkey * {LINES} + one.place AS id, one.l_shipdate AS shipped,
+                     CASE WHEN one.line.part < two.line.part THEN one.line ELSE two.line END AS a,
+                     CASE WHEN one.line.part < two.line.part THEN two.line ELSE one.line END AS b
+              FROM ranked one
+              JOIN ranked two ON one.l_orderkey = two.l_orderkey AND one.place + 1 = two.place
+              WHERE one.line.part <> two.line.part)""",
     "ranked": """
-        SELECT l_orderkey AS id,
-               {'cents': cents, 'part': l_partkey} AS line,
-               min(l_shipdate) OVER (PARTITION BY l_orderkey) AS shipped,
+        SELECT l_orderkey, l_shipdate, {'cents': cents, 'part': l_partkey} AS line,
                row_number() OVER (PARTITION BY l_orderkey
-                 ORDER BY cents DESC, l_partkey DESC) AS from_top,
-               row_number() OVER (PARTITION BY l_orderkey
-                 ORDER BY cents, l_partkey) AS from_bottom
+                 ORDER BY l_shipdate, cents, l_partkey) AS place
         FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)""",
     "raw_train": f"""
         SELECT id, project_a, project_b, weight_a, weight_b FROM all_pairs
