@@ -232,7 +232,7 @@ def model_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_pairs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """All pairs with two simple predictions: star share and size share of side a."""
     from sharewise.plans.features import pair_features
 
@@ -246,6 +246,7 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "project_a", "project_b", "weight_a", "weight_b",
         usable("stars_ratio").alias("prediction"),
         usable("size_ratio").alias("base_prediction"),
+        *keep,
     )
 
 

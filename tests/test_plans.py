@@ -12,7 +12,10 @@ from sharewise.operators.pareto import pareto_front
 from sharewise.operators.target import target_encoding
 
 # Queries that write or fit when they are built, not when they are run.
-EAGER = {"pairs_snapshot", "metadata_snapshot", "triples", "triple_check"}
+EAGER = {
+    "pairs_snapshot", "metadata_snapshot", "triples", "triple_check", "first_tree",
+    "first_diverse_round", "train_run", "sweep_run",
+}
 LAZY = sorted(set(entry.oracle_sql()) - EAGER)
 BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "SortAggregate")
 
