@@ -555,3 +555,15 @@ def test_pipeline_stages(spark):
     assert groups.filter("count > 1").count() == 0
     assert {r.doc_id for r in seen["pii"].collect()} == kept
     assert {r.doc_id for r in docs.collect()} == kept
+
+
+def test_pipeline_takes_rows_without_an_id_by_their_text(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    leak = queries.table(spark, sf, "benchmark").limit(1).first().text
+    rows = [(None, leak), (None, "a clean text of its own"), (None, None), (7, "clean")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("text_", F.lit(1))
+    left = corpus_pipeline.remove_benchmark(spark, docs, sf)
+    assert left.columns == docs.columns
+    assert {r.text for r in left.collect()} == {row[1] for row in rows[1:]}
