@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/MAX_HOT_KEYS of the rows, so there are fewer than
-# MAX_HOT_KEYS hot keys whatever the data: that is what bounds the broadcast below.
-MAX_HOT_KEYS = 65_536
+# A key is hot when it holds more than a task's load and more than 1/MAX_HOT_KEYS of the rows,
+# so there are fewer than MAX_HOT_KEYS hot keys whatever the data: that is what bounds the
+# broadcast below (some 60 MB). Up to 2e12 rows every key above a task's load is split.
+MAX_HOT_KEYS = 1_000_000
 ROWS_PER_TASK = 2_000_000
 
 
