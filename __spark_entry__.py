@@ -54,10 +54,8 @@ except ModuleNotFoundError as missing:
 SMOKE_DIR = "/root/testdata/sf0.001"
 KEY = ("id", "project_a", "project_b")
 ALPHA = 0.001
-# Fewer rounds and trials than the library's defaults, which take hours on one machine.
-TREES = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1}
-BOOST = {"rounds": 10, "step": 0.3, "tree_params": {"maxDepth": 4}}
-SEARCH = {"trials": 5, "rounds": 5}
+#: Share of the one tree in ``first_diverse_round``.
+FIRST_STEP = 0.3
 PARALLEL_TREES = 4
 #: A column of few values, for trees that SQL can grow too.
 STUMP = "open_issues"
@@ -310,26 +308,26 @@ def _table(spark, sf, names=TRAINING_FEATURES):
 def _selected(spark, sf):
     """The training table and the columns that a preliminary model selects from all 68."""
     table = _table(spark, sf)
-    selection = training.select_features(table, TRAINING_FEATURES, params=TREES)
+    selection = training.select_features(table, TRAINING_FEATURES)
     return table, training.selected_names(selection)
 
 
 def gbt_cv(spark, sf):
-    return training.cross_validate(*_selected(spark, sf), TREES)
+    return training.cross_validate(*_selected(spark, sf))
 
 
 def feature_selection(spark, sf):
     table = _table(spark, sf)
-    return importance.ranked(training.select_features(table, TRAINING_FEATURES, params=TREES))
+    return importance.ranked(training.select_features(table, TRAINING_FEATURES))
 
 
 def random_search(spark, sf):
-    return training.random_search(*_selected(spark, sf), **SEARCH)
+    return training.random_search(*_selected(spark, sf))
 
 
 def gbt_submission(spark, sf):
     table, names = _selected(spark, sf)
-    model = training.fit(table, names, TREES)
+    model = training.fit(table, names)
     test = pair_features(src.test(spark, sf), src.dimension(spark, sf), src.AS_OF)
     return sinks.submission(training.predict(model, test, names))
 
@@ -338,7 +336,7 @@ def _base(spark, sf):
     """Base model on the selected columns, the training rows scored by it, and the test
     vectors."""
     table, names = _selected(spark, sf)
-    model = training.fit(table, names, TREES)
+    model = training.fit(table, names)
     test = pair_features(src.test(spark, sf), src.dimension(spark, sf), src.AS_OF)
     test = fill_missing(numeric_columns(test, names, ["id"]), names)
     vectors = assembler(names).transform(test).select("id", "features")
@@ -347,13 +345,13 @@ def _base(spark, sf):
 
 def decorrelated_boost(spark, sf):
     scored, _ = _base(spark, sf)
-    model = decorrelate.boost_diverse(scored, ALPHA, **BOOST)
+    model = decorrelate.boost_diverse(scored, ALPHA)
     return diversity.diversity_metric(model.transform(scored))
 
 
 def _sweep(spark, sf):
     """Statistics and test scores of all eleven alphas."""
-    return decorrelate.sweep(*_base(spark, sf), parallelism=PARALLEL_TREES, **BOOST)
+    return decorrelate.sweep(*_base(spark, sf), parallelism=PARALLEL_TREES)
 
 
 def alpha_sweep(spark, sf):
@@ -389,7 +387,7 @@ def first_diverse_round(spark, sf):
     columns = numeric_columns(scored, [STUMP], ["id", training.LABEL, "base_prediction"])
     filled = fill_missing(columns, [STUMP], flags=False)
     table = stage(assembler([STUMP], flags=False).transform(filled), "first-round")
-    model = decorrelate.boost_diverse(table, ALPHA, 1, BOOST["step"], {"maxDepth": 1})
+    model = decorrelate.boost_diverse(table, ALPHA, 1, FIRST_STEP, {"maxDepth": 1})
     return _by_value(model.transform(table).withColumnRenamed(STUMP, "value"))
 
 
@@ -400,11 +398,11 @@ def _by_value(scored):
     return rounded(out)
 
 
-def _run(spark, sf, trials, rounds):
+def _run(spark, sf):
     """A whole training run under a new folder."""
     table, path = _table(spark, sf), scratch_path(spark, "run")
     test = pair_features(src.test(spark, sf), src.dimension(spark, sf), src.AS_OF)
-    runs.train_run(table, test, path, TRAINING_FEATURES, trials, rounds, TREES)
+    runs.train_run(table, test, path)
     return table, test, path
 
 
@@ -420,7 +418,7 @@ def train_run(spark, sf):
     """A whole run, and what each of its steps must meet: shares add up and decide; settings
     lie in their ranges; every fold beats the mean of the others; every test pair has a
     prediction from 0 up; the saved model predicts what was submitted."""
-    table, test, path = _run(spark, sf, **SEARCH)
+    table, test, path = _run(spark, sf)
     n, every = F.count(F.lit(1)), F.bool_and
     share = F.col("gain_share")
     drawn = [
@@ -458,8 +456,8 @@ def train_run(spark, sf):
 def sweep_run(spark, sf):
     """The sweep on a saved run: a row per alpha with its submission's size, whether that has a
     floored prediction for every pair, and whether the statistics can be."""
-    table, test, path = _run(spark, sf, trials=1, rounds=SEARCH["rounds"])
-    runs.sweep_run(table, test, path, rounds=BOOST["rounds"], parallelism=PARALLEL_TREES)
+    table, test, path = _run(spark, sf)
+    runs.sweep_run(table, test, path, parallelism=PARALLEL_TREES)
     sent = spark.read.schema("id bigint, pred double, alpha double").option("header", True)
     good = F.bool_and(F.col("pred").isNotNull() & (F.col("pred") >= 0))
     sent = sent.csv(f"{path}/sweep/submissions").groupBy("alpha").agg(
