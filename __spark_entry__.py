@@ -112,6 +112,13 @@ def pairs_with_metadata_folded(spark, sf):
     ).select(*KEY, "stars", "stars_b", "language", "language_b")
 
 
+def pairs_with_metadata_folded_whole(spark, sf):
+    """All pairs, with every column of the join."""
+    return metadata.attach_metadata(
+        src.mirrored(spark, sf), src.dimension(spark, sf), fold_case=True
+    )
+
+
 def join_fanout_audit(spark, sf):
     """With the archived projects recorded twice in the dimension."""
     dim = src.dimension(spark, sf)
@@ -485,6 +492,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "missing_metadata": missing_metadata,
         "pairs_with_metadata": pairs_with_metadata,
         "pairs_with_metadata_folded": pairs_with_metadata_folded,
+        "pairs_with_metadata_folded_whole": pairs_with_metadata_folded_whole,
         "join_fanout_audit": join_fanout_audit,
         "pairs_snapshot": pairs_snapshot,
         "metadata_snapshot": metadata_snapshot,
