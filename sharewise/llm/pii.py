@@ -48,7 +48,7 @@ PHONE = (
 )
 FOUND = "|".join([EMAIL, ACCESS_KEY, SECRET, IP, DATE, SSN, IBAN, CARD, PHONE])
 #: What every form has; texts without it are not searched further.
-HINT = r"[0-9@]|(?i:token|password|passwd|pwd|secret|api[_-]?key)"
+HINT = r"[0-9@]|A(?:KI|SI)A|(?i:token|password|passwd|pwd|secret|api[_-]?key)"
 
 
 def _number(text: Column, kind: str = "bigint") -> Column:
