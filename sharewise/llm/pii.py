@@ -37,7 +37,27 @@ SECRET = (
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?<ds>[./])\d{1,2}\k<ds>\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-IBAN = r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b"
+#: Registered countries by the length of their numbers.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN",
+    21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(size: int, countries: str) -> str:
+    groups, rest = divmod(size - 4, 4)
+    end = f"[ ]?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{{groups}}}{end}"
+
+
+#: The length that the country has, or else any (see ``_iban`` for words behind it).
+IBAN = (
+    rf"\b(?:{'|'.join(_iban_of(*x) for x in IBAN_COUNTRIES.items())}"
+    r"|[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)\b"
+)
 CARD = (
     r"(?<![\d-])(?:\d{13,19}|\d{4}(?<cs>[ -])\d{4}\k<cs>\d{4}\k<cs>\d{1,7}"
     r"|3\d{3}(?<as>[ -])\d{6}\k<as>\d{5})(?![\d-])"
@@ -202,11 +222,30 @@ def _ssn(found: Column, key: str) -> Column:
 
 
 def _iban(found: Column, key: str) -> Column:
+    # Words behind a number whose country has no known length: the longest valid reading counts.
+    parts = F.split(found, " ")
+    ends = F.transform(
+        F.sequence(F.size(parts), F.lit(1), F.lit(-1)),
+        lambda n: F.array_join(F.slice(parts, F.lit(1), n), " "),
+    )
+    valid = F.filter(ends, _is_iban)
+    return _let(
+        F.get(valid, F.lit(0)),
+        lambda number: F.concat(
+            _new_iban(number, key), F.substring(found, F.length(number) + 1, F.length(found))
+        ),
+    )
+
+
+def _is_iban(number: Column) -> Column:
+    plain = F.regexp_replace(number, " ", "")
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain) - 4), F.substring(plain, 1, 4))
+    return F.length(plain).between(15, 34) & (_mod97(turned) == 1)
+
+
+def _new_iban(found: Column, key: str) -> Column:
     plain = F.regexp_replace(found, " ", "")
     country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain) - 4)
-    valid = F.length(plain).between(15, 34) & (
-        _mod97(F.concat(account, F.substring(plain, 1, 4))) == 1
-    )
     # Two networks of at most 15 digits each: 30 digits are too many for one bigint pair.
     digits = _digits(account)
     head = F.floor(F.length(digits) / 2).cast("int")
@@ -224,7 +263,7 @@ def _iban(found: Column, key: str) -> Column:
         whole = F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
         return in_place(found, _digits(whole))
 
-    return F.when(valid, _let(in_place(account, new), renewed))
+    return _let(in_place(account, new), renewed)
 
 
 def _ip(found: Column, key: str) -> Column:

@@ -18,3 +18,36 @@ def test_key_without_a_digit(spark):
     ):
         assert "MDUHKUVBLCCCCEQX" not in row.text and row.text.startswith(f"the key {prefix}")
         assert row.pii["secret"] == 1
+
+
+def _check(number):
+    plain = number.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+IBANS = [
+    ("ES91 2100 0418 4502 0005 1332", " BIC CAIXESBB"),
+    ("BE68 5390 0754 7034", " EUR 50"),
+    ("BE68539007547034", " EUR"),
+    ("BE68 5390 0754 7034", " BANK CODE ABC"),
+    ("GB82 WEST 1234 5698 7654 32", " AB"),
+]
+
+
+def test_word_behind_an_account_number(spark):
+    # A country that the table does not know, with right check digits.
+    account = "1234 5678 9012 3456"
+    check = 98 - _check(f"ZZ00 {account}")
+    known = [*IBANS, (f"ZZ{check:02d} {account}", " EUR"), (f"ZZ{check:02d} {account}", " NOTE ABC")]
+    for (number, behind), row in zip(
+        known, _replaced(spark, [f"pay {n}{b}" for n, b in known]), strict=True
+    ):
+        assert row.pii["iban"] == 1 and row.text.endswith(behind)
+        new = row.text.removeprefix("pay ").removesuffix(behind)
+        assert new != number and len(new) == len(number) and new[:2] == number[:2]
+        assert _check(new) == 1
+
+
+def test_two_account_numbers_in_a_row(spark):
+    (row,) = _replaced(spark, ["BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332"])
+    assert row.pii["iban"] == 2 and "5390" not in row.text and "0418" not in row.text
