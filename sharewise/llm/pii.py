@@ -62,9 +62,24 @@ CARD = (
     r"(?<![\d-])(?:\d{13,19}|\d{4}(?<cs>[ -])\d{4}\k<cs>\d{4}\k<cs>\d{1,7}"
     r"|3\d{3}(?<as>[ -])\d{6}\k<as>\d{5})(?![\d-])"
 )
+#: One more digit of a number, unless a date, an SSN, an address or a card begins there.
+_MORE = (
+    r"(?:\d|\.\d|[ -](?!\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d\d-\d\d|\d{3}-\d\d-\d{4}"
+    r"|(?:\d{1,3}\.){3}\d|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d|3\d{3}[ -]\d{6}[ -]\d|\d{13})\d)"
+)
+#: A leading 0 that neither goes on a longer number nor begins a date.
+_ZERO = r"(?<![\w+])(?<!\d[.,/-])(?!\d{1,2}[ ./-]\d{1,2}[ ./-]\d{4}(?!\d))"
+#: After the first two forms: France and Spain; + or 00 and groups; 0, an area code and groups.
 PHONE = (
     r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,5}(?![\w-])"
     r"|(?<![\w+])\+\d{8,15}(?!\d)"
+    r"|(?<![\w+])(?:\+33(?:[ .-]?\(0\))?|\+34)(?:[ .-]?\d){9}(?!\d)"
+    rf"|{_ZERO}0[1-9](?:[ .-]\d{{2}}){{4}}(?!\d)"
+    rf"|(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(0\)[ .-]?\d{_MORE}{{3,10}}|\(\d{{1,4}}\)[ .-]?\d{_MORE}{{3,7}})"
+    r"(?!\d)"
+    rf"|(?<![\w+])\+\d{_MORE}{{7,14}}(?!\d)"
+    rf"|{_ZERO}(?=00[1-9]\d{{0,3}}[ .-]\d)00{_MORE}{{6,13}}(?!\d)"
+    rf"|{_ZERO}0[1-9]\d{{0,4}}(?=[ ./-])(?:/\d|{_MORE}){_MORE}{{2,8}}(?!\d)"
 )
 FOUND = "|".join([EMAIL, ACCESS_KEY, SECRET, IP, DATE, SSN, IBAN, CARD, PHONE])
 #: What every form has; texts without it are not searched further.

@@ -1,5 +1,6 @@
 """Forms of personal data that a narrower search left in the text."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sharewise.llm import pii
@@ -51,3 +52,33 @@ def test_word_behind_an_account_number(spark):
 def test_two_account_numbers_in_a_row(spark):
     (row,) = _replaced(spark, ["BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332"])
     assert row.pii["iban"] == 2 and "5390" not in row.text and "0418" not in row.text
+
+
+PHONES = [
+    "+33 6 12 34 56 78", "06 12 34 56 78", "06.12.34.56.78", "+33 (0)6 12 34 56 78",
+    "+49 30 901820", "+49 151 23456789", "+49 (0)151 23456789", "0151 23456789", "030 901820",
+    "030/901820", "0049 151 23456789", "+34 612 34 56 78", "+34 91 123 45 67", "+1 (988) 555-2485",
+]
+
+
+def test_phone_numbers_of_several_countries(spark):
+    for number, row in zip(PHONES, _replaced(spark, [f"call {n}, ok" for n in PHONES]), strict=True):
+        new = row.text.removeprefix("call ").removesuffix(", ok")
+        assert row.pii["phone"] == 1, number
+        assert new != number and len(new) == len(number)
+        assert [c for c in new if not c.isdigit()] == [c for c in number if not c.isdigit()]
+
+
+@pytest.mark.parametrize("lead", ["+33 6 12 34 56 78", "+49 30 901820", "030 901820", "05"])
+def test_what_follows_a_phone_number_is_found(spark, lead):
+    behind = {"01.02.2024": "date", "1985-02-28": "date", "123-45-6789": "ssn"}
+    if lead != "05":  # "05 4111 1111" is a number of the usual form
+        behind["4111 1111 1111 1111"] = "card"
+    rows = _replaced(spark, [f"{lead} {x} end" for x in behind])
+    for kind, row in zip(behind.values(), rows, strict=True):
+        assert row.pii[kind] == 1, row.text
+
+
+def test_numbers_that_are_no_phone_numbers_stay(spark):
+    same = ["0.12345678", "01-02-2024", "1.05.123456", "x06 12 34 56 78", "07 1234"]
+    assert [r.text for r in _replaced(spark, same)] == same
