@@ -36,11 +36,13 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item; a row without an id goes by its own text."""
+    """Documents that contain no benchmark item; a row or item without an id goes by its text."""
     key = max(docs.columns, key=len) + "_"  # a name that no column has
     own = F.concat(F.lit("text "), F.sha2(F.col("text"), 256))
     named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), own))
-    leaks = decontam.contained(named, queries.table(spark, sf_dir, "benchmark"), key=key)
+    items = queries.table(spark, sf_dir, "benchmark")
+    items = items.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), own))
+    leaks = decontam.contained(named, items, key=key)
     return named.join(leaks.select(key).distinct(), key, "left_anti").drop(key)
 
 
