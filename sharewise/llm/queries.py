@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sharewise.llm import (
     chat,
     decontam,
+    fim,
     html,
     langid,
     packing,
@@ -102,6 +103,17 @@ def sequence_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf, "documents"), path)
 
 
+def fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias(
+            "restored_sha256"
+        ),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_language_id": language_id,
@@ -114,6 +126,7 @@ def queries() -> dict:
         "op8_chat_template": chat_format,
         "op9_benchmark_containment": benchmark_leaks,
         "op10_vector_packing": sequence_packing,
+        "op13_fill_in_middle": fill_in_middle,
     }
 
 
@@ -142,5 +155,38 @@ GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)
 """
 
 
+#: Lines as a list, cut and put together again; the text itself is what must be restored.
+MIDDLES = r"""
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+        sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), drawn AS (
+    SELECT doc_id, text, u, len(u) AS n,
+        CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS one,
+        CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS two,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+            OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+            WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM units
+), parts AS (
+    SELECT doc_id, text, n, form,
+        array_to_string(u[1:least(one, two)], '') AS p,
+        array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS m,
+        array_to_string(u[greatest(one, two) + 1:], '') AS s
+    FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+    CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text
+        WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_containment": LEAKS}
+    return {"op9_benchmark_containment": LEAKS, "op13_fill_in_middle": MIDDLES}
