@@ -17,6 +17,7 @@ from sharewise.llm import (
     quality,
     simhash,
     suffix,
+    tokencount,
     toxicity,
 )
 from sharewise.llm.text import held_out
@@ -24,6 +25,7 @@ from sharewise.llm.text import held_out
 #: The key of the registered query and pipeline; a deployment passes its own.
 PII_KEY = "sharewise-public-demonstration-key"
 TOKENIZER = "byte_bpe_50k.json"
+COUNTED_BY, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -103,6 +105,15 @@ def sequence_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf, "documents"), path)
 
 
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs, path = table(spark, sf, "documents"), public_tokenizers.path(COUNTED_BY)
+    n = tokencount.token_counts(docs, tokencount.frequent(docs, path), path)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    return docs.select("doc_id", size.alias("n_bytes"), n.alias("n_tokens")).withColumn(
+        "over_limit", F.col("n_tokens") > TOKEN_LIMIT
+    )
+
+
 def fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     made = fim.fill_in_middle(table(spark, sf, "documents"))
     return made.select(
@@ -126,6 +137,7 @@ def queries() -> dict:
         "op8_chat_template": chat_format,
         "op9_benchmark_containment": benchmark_leaks,
         "op10_vector_packing": sequence_packing,
+        "op12_token_counts": token_counts,
         "op13_fill_in_middle": fill_in_middle,
     }
 
