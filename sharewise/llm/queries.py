@@ -19,6 +19,7 @@ from sharewise.llm import (
     suffix,
     tokencount,
     toxicity,
+    whitening,
 )
 from sharewise.llm.text import held_out
 
@@ -105,6 +106,10 @@ def sequence_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf, "documents"), path)
 
 
+def embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs, path = table(spark, sf, "documents"), public_tokenizers.path(COUNTED_BY)
     n = tokencount.token_counts(docs, tokencount.frequent(docs, path), path)
@@ -137,6 +142,7 @@ def queries() -> dict:
         "op8_chat_template": chat_format,
         "op9_benchmark_containment": benchmark_leaks,
         "op10_vector_packing": sequence_packing,
+        "op11_embedding_whitening": embedding_whitening,
         "op12_token_counts": token_counts,
         "op13_fill_in_middle": fill_in_middle,
     }
