@@ -31,12 +31,10 @@ from sharewise.operators import (  # noqa: E402
     pareto,
     target,
 )
-from sharewise.plans import decorrelate, funding, runs, training  # noqa: E402
+from sharewise.plans import boosting, decorrelate, funding, runs, training  # noqa: E402
 from sharewise.plans.features import (  # noqa: E402
     MISSING,
     TRAINING_FEATURES,
-    assembler,
-    fill_missing,
     numeric_columns,
     pair_features,
 )
@@ -56,7 +54,6 @@ KEY = ("id", "project_a", "project_b")
 ALPHA = 0.001
 #: Share of the one tree in ``first_diverse_round``.
 FIRST_STEP = 0.3
-PARALLEL_TREES = 4
 #: A column of few values, for trees that SQL can grow too.
 STUMP = "open_issues"
 
@@ -340,25 +337,25 @@ def gbt_submission(spark, sf):
 
 
 def _base(spark, sf):
-    """Base model on the selected columns, the training rows scored by it, and the test
-    vectors."""
+    """Base model on the selected columns, the training rows scored by it, the test rows and
+    the columns."""
     table, names = _selected(spark, sf)
     model = training.fit(table, names)
     test = pair_features(src.test(spark, sf), src.dimension(spark, sf), src.AS_OF)
-    test = fill_missing(numeric_columns(test, names, ["id"]), names)
-    vectors = assembler(names).transform(test).select("id", "features")
-    return decorrelate.with_base(fill_missing(table, names), model), vectors
+    rows = stage(numeric_columns(test, names, ["id"]), "test")
+    return decorrelate.with_base(table, model), rows, names
 
 
 def decorrelated_boost(spark, sf):
-    scored, _ = _base(spark, sf)
-    model = decorrelate.boost_diverse(scored, ALPHA)
-    return diversity.diversity_metric(model.transform(scored))
+    scored, _, names = _base(spark, sf)
+    model = decorrelate.boost_diverse(scored, names, ALPHA)
+    keep = [training.LABEL, "base_prediction"]
+    return diversity.diversity_metric(boosting.predict(scored, model, keep))
 
 
 def _sweep(spark, sf):
     """Statistics and test scores of all eleven alphas."""
-    return decorrelate.sweep(*_base(spark, sf), parallelism=PARALLEL_TREES)
+    return decorrelate.sweep(*_base(spark, sf))
 
 
 def alpha_sweep(spark, sf):
@@ -379,23 +376,29 @@ def alpha_submissions(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(f"{path}/submissions")
 
 
+STUMP_ONLY = {"rounds": 1, "max_depth": 1, "learning_rate": 1.0, "min_child_samples": 1}
+
+
 def first_tree(spark, sf):
-    """One split of one column: small enough to be found again in SQL."""
-    frame, names = src.mirrored(spark, sf), [STUMP]
-    table = training.training_table(frame, src.dimension(spark, sf), src.AS_OF, names)
-    model = training.fit(table, names, {"maxIter": 1, "maxDepth": 1}, flags=False)
-    seen = table.withColumn("value", F.coalesce(F.col(STUMP), F.lit(MISSING)))
-    return _by_value(training.predict(model, seen, names, ["value"], flags=False))
+    """One split of one column, gaps filled: small enough to be found again in SQL."""
+    frame = src.mirrored(spark, sf)
+    table = training.training_table(frame, src.dimension(spark, sf), src.AS_OF, [STUMP])
+    table = table.withColumn(STUMP, F.coalesce(F.col(STUMP), F.lit(MISSING)))
+    model = training.fit(table, [STUMP], STUMP_ONLY)
+    scored = training.predict(model, table, [STUMP], [STUMP])
+    return _by_value(scored.withColumnRenamed(STUMP, "value"))
 
 
 def first_diverse_round(spark, sf):
     """One split from zero under the diversity loss."""
     scored = src.scored_pairs(spark, sf, STUMP)
-    columns = numeric_columns(scored, [STUMP], ["id", training.LABEL, "base_prediction"])
-    filled = fill_missing(columns, [STUMP], flags=False)
-    table = stage(assembler([STUMP], flags=False).transform(filled), "first-round")
-    model = decorrelate.boost_diverse(table, ALPHA, 1, FIRST_STEP, {"maxDepth": 1})
-    return _by_value(model.transform(table).withColumnRenamed(STUMP, "value"))
+    keep = ["id", training.LABEL, "base_prediction"]
+    table = numeric_columns(scored, [STUMP], keep)
+    table = table.withColumn(STUMP, F.coalesce(F.col(STUMP), F.lit(MISSING)))
+    table = stage(table, "first-round")
+    params = STUMP_ONLY | {"learning_rate": FIRST_STEP}
+    model = decorrelate.boost_diverse(table, [STUMP], ALPHA, params)
+    return _by_value(boosting.predict(table, model, [STUMP]).withColumnRenamed(STUMP, "value"))
 
 
 def _by_value(scored):
@@ -464,7 +467,7 @@ def sweep_run(spark, sf):
     """The sweep on a saved run: a row per alpha with its submission's size, whether that has a
     floored prediction for every pair, and whether the statistics can be."""
     table, test, path = _run(spark, sf)
-    runs.sweep_run(table, test, path, parallelism=PARALLEL_TREES)
+    runs.sweep_run(table, test, path)
     sent = spark.read.schema("id bigint, pred double, alpha double").option("header", True)
     good = F.bool_and(F.col("pred").isNotNull() & (F.col("pred") >= 0))
     sent = sent.csv(f"{path}/sweep/submissions").groupBy("alpha").agg(
