@@ -376,6 +376,10 @@ def alpha_submissions(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(f"{path}/submissions")
 
 
+REGULARISED = {
+    "rounds": 1, "num_leaves": 3, "learning_rate": 0.5, "min_child_samples": 100,
+    "reg_alpha": 0.5, "reg_lambda": 4.0,
+}
 STUMP_ONLY = {"rounds": 1, "max_depth": 1, "learning_rate": 1.0, "min_child_samples": 1}
 
 
@@ -401,6 +405,25 @@ def first_diverse_round(spark, sf):
     return _by_value(boosting.predict(table, model, [STUMP]).withColumnRenamed(STUMP, "value"))
 
 
+def _stump(spark, sf, params):
+    """The label by the values of one column, gaps among them, as a small model predicts it."""
+    frame = src.mirrored(spark, sf)
+    table = training.training_table(frame, src.dimension(spark, sf), src.AS_OF, [STUMP])
+    model = training.fit(table, [STUMP], params)
+    scored = training.predict(model, table, [STUMP], [STUMP])
+    return _by_value(scored.withColumnRenamed(STUMP, "value"))
+
+
+def first_gap_split(spark, sf):
+    """One split of a column with gaps, which go to the side where they fit better."""
+    return _stump(spark, sf, STUMP_ONLY)
+
+
+def first_regularised_tree(spark, sf):
+    """The best two splits of a column under regularisation, a least leaf and a leaf budget."""
+    return _stump(spark, sf, REGULARISED)
+
+
 def _by_value(scored):
     out = scored.groupBy("value").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("prediction").alias("prediction")
@@ -555,6 +578,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alpha_submissions": alpha_submissions,
         "first_tree": first_tree,
         "first_diverse_round": first_diverse_round,
+        "first_gap_split": first_gap_split,
+        "first_regularised_tree": first_regularised_tree,
         "train_run": train_run,
         "sweep_run": sweep_run,
         **({} if llm is None else llm.queries() | {"pipeline": corpus_pipeline.run}),
