@@ -28,13 +28,19 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KINDS = ("email", "secret", "ip", "date", "ssn", "iban", "card", "phone")
 #: The forms looked for, the first that fits counts.
-EMAIL = r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: No more labels than a domain name can have: a group that is repeated without bound costs the
+#: regex engine stack for each repetition.
+EMAIL = r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}"
 ACCESS_KEY = r"\bA(?:KI|SI)A[0-9A-Z]{16}\b"
 SECRET = (
     r"(?i:\b(?:token|password|passwd|pwd|secret|api[_-]?key))[ ]?[=:][ ]?[\"']?"
     r"(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{8,}"
 )
-IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
+#: Four numbers behind a word for a version are one.
+IP = (
+    r"(?<![\w.])(?<![Vv]ersion[ ])(?<![Vv]er\.[ ])(?<![Rr]elease[ ])(?<![Bb]uild[ ])"
+    r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
+)
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?<ds>[./])\d{1,2}\k<ds>\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 #: Registered countries by the length of their numbers.
@@ -69,9 +75,13 @@ _MORE = (
 )
 #: A leading 0 that neither goes on a longer number nor begins a date.
 _ZERO = r"(?<![\w+])(?<!\d[.,/-])(?!\d{1,2}[ ./-]\d{1,2}[ ./-]\d{4}(?!\d))"
-#: After the first two forms: France and Spain; + or 00 and groups; 0, an area code and groups.
+#: + and groups; an area code in brackets; three, three and four digits with one separator, as
+#: in North America; France and Spain; + or 00 and groups; 0, an area code and groups. Groups of
+#: digits with none of these are figures, not numbers to call.
 PHONE = (
-    r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,5}(?![\w-])"
+    r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,5}(?![\w-])"
+    r"|(?<![\w+])\((?:[2-9]\d{2}\)[ .-]?[2-9]\d{2}[ .-]\d{4}|0\d{1,4}\)[ .-]?\d{3,4}[ .-]\d{3,5})(?![\w-])"
+    r"|(?<![\w+])(?<!\d[.,/-])[2-9]\d{2}(?<ps>[ .-])[2-9]\d{2}\k<ps>\d{4}(?![\w-])(?![.,]\d)"
     r"|(?<![\w+])\+\d{8,15}(?!\d)"
     r"|(?<![\w+])(?:\+33(?:[ .-]?\(0\))?|\+34)(?:[ .-]?\d){9}(?!\d)"
     rf"|{_ZERO}0[1-9](?:[ .-]\d{{2}}){{4}}(?!\d)"
@@ -341,11 +351,12 @@ def _date(found: Column, key: str) -> Column:
 def _digest(key: str, tweak: str, value: Column, size: Column | int) -> Column:
     """A hexadecimal digest of any size."""
     size = F.lit(size) if isinstance(size, int) else size
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(size / 64).cast("int")),
-        lambda i: _keyed(key, F.lit(tweak), i, value),
-    )
-    return F.substring(F.array_join(blocks, ""), F.lit(1), size)
+    steps = F.sequence(F.lit(0), F.floor(size / 64).cast("int"))
+
+    def blocks(own: Column) -> Column:  # of the value's own digest: a long value is read once
+        return F.array_join(F.transform(steps, lambda i: _keyed(key, F.lit(tweak), i, own)), "")
+
+    return F.substring(_let(_keyed(key, F.lit(tweak), value), blocks), F.lit(1), size)
 
 
 def _email(found: Column, key: str) -> Column:
@@ -389,13 +400,22 @@ def _count(finds: str, kind: str) -> Column:
     return F.size(F.filter(finds, lambda f: F.coalesce(f["kind"] == kind, F.lit(False))))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pseudonymise(
     docs: DataFrame, key: str, text: str = "text", counts: str | None = "pii"
 ) -> DataFrame:
     """``docs`` with ``text`` made free of personal data and, if ``counts`` names a column, a
-    map from kind to the number of values replaced. ``key`` is secret."""
+    map from kind to the number of values replaced. ``key`` is secret. Where ``docs`` has a
+    column of that name, it stays and the map has underscores behind its name."""
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
-    finds, gaps = "__pii_finds", "__pii_gaps"
+    finds = _free(docs, "finds")
+    gaps, counts = _free(docs, "gaps"), counts and _free(docs, counts)
     found = F.when(hinted, F.regexp_extract_all(F.col(text), F.lit(FOUND), F.lit(0)))
     out = docs.withColumn(finds, F.coalesce(found, F.array().cast("array<string>")))
     out = out.withColumn(gaps, F.when(F.size(finds) > 0, F.split(F.col(text), FOUND)))

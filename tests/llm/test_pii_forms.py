@@ -82,3 +82,51 @@ def test_what_follows_a_phone_number_is_found(spark, lead):
 def test_numbers_that_are_no_phone_numbers_stay(spark):
     same = ["0.12345678", "01-02-2024", "1.05.123456", "x06 12 34 56 78", "07 1234"]
     assert [r.text for r in _replaced(spark, same)] == same
+
+
+FIGURES = [
+    "In 2019 3000 4000 people came", "pages 100-234 5678", "ratio 12 345 6789",
+    "prices 12.500 1200", "version 1.2.3.4", "Release 10.20.30.40 is out", "v1.2.3.4",
+    "Smith (2019) 123-145", "1 234 567 890", "from 1990-2000 3000 went", "12 345 678", "3 1415 9265",
+    "212 555 12345", "612 345 678", "1.212.555.1234",
+]
+
+
+def test_ordinary_figures_stay(spark):
+    found = _replaced(spark, FIGURES)
+    assert [r.text for r in found] == FIGURES
+    assert not any(sum(r.pii.values()) for r in found)
+
+
+@pytest.mark.parametrize("number", ["988-555-2485", "(988) 555-2485", "988.555.2485", "(030) 9018 2000"])
+def test_national_forms_are_found(spark, number):
+    (row,) = _replaced(spark, [f"call {number}, ok"])
+    assert row.pii["phone"] == 1 and number not in row.text
+
+
+MILLION = 1_000_000
+LONG = [
+    "x@" + "a." * (MILLION // 2) + "com", "x" * MILLION, "a@" * (MILLION // 2), "." * MILLION,
+    "x@" + "a-" * (MILLION // 2), "1" * MILLION, "1." * (MILLION // 2), "12 " * (MILLION // 3),
+    "+1" * (MILLION // 2), "0 1" * (MILLION // 3), "DE12" * (MILLION // 4), "AKIA" * (MILLION // 4),
+    "token=" * (MILLION // 6), "1-" * (MILLION // 2), "x%" * (MILLION // 2) + "@b.com",
+]
+
+
+def test_tokens_of_a_million_signs(spark):
+    found = _replaced(spark, [*LONG, "token=" + "a1" * (MILLION // 2), "mail a@b.example.com. End"])
+    assert [r.text for r in found[: len(LONG) - 1]] == LONG[:-1]
+    assert found[len(LONG) - 1].pii["email"] == 1
+    secret = found[len(LONG)]
+    assert secret.pii["secret"] == 1 and len(secret.text) == 6 + MILLION and "a1" * 20 not in secret.text
+    assert found[-1].pii["email"] == 1 and found[-1].text.endswith(". End")
+
+
+def test_columns_of_the_same_names_stay(spark):
+    df = spark.createDataFrame([(1, "call +1 (988) 555-2485")], "doc_id bigint, text string")
+    taken = ("pii", "finds", "Gaps", "__pii_finds", "__pii_gaps", "kind", "new")
+    out = pii.pseudonymise(df.withColumns({c: F.lit(c) for c in taken}), "k")
+    (row,) = out.collect()
+    assert [row[c] for c in taken] == list(taken)
+    assert row["pii_"]["phone"] == 1 and out.columns == ["doc_id", "text", *taken, "pii_"]
+    assert pii.pseudonymise(df.filter("false"), "k").collect() == []
