@@ -63,7 +63,8 @@ class ByteTokenizer:
     """Ids of whole texts by the vocabulary in a ``tokenizers`` file, as little-endian uint32.
 
     Text is cut at single spaces between other signs, where no token can reach across; the ids
-    of what lies between are remembered for up to ``CACHED_WORDS`` words, then forgotten.
+    of what lies between are remembered for up to ``CACHED_WORDS`` words, then forgotten. The
+    file's added tokens are one id each wherever they stand in a text, as its library has it.
     """
 
     def __init__(self, path: str):
@@ -71,21 +72,29 @@ class ByteTokenizer:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            known = json.load(file)
+        vocabulary, added = known["model"]["vocab"], {}
+        for token in known.get("added_tokens") or []:
+            loose = token["lstrip"] or token["rstrip"] or token["single_word"]
+            if loose or any(c.isspace() for c in token["content"]):
+                raise ValueError(f"{path}: {token['content']!r} takes signs beside it")
+            added[token["content"]] = token["id"]
         signs = _byte_signs()
         ranks = {
             bytes(signs[s] for s in token): rank
             for token, rank in vocabulary.items()
-            if all(s in signs for s in token) and not token.startswith("<|")
+            if token not in added and all(s in signs for s in token)
         }
         self.words = tiktoken.Encoding(
-            "words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}
+            "words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added
         )
+        self.added = set(added)
         self.blank = regex.compile(r" \s|\s ")
         self.known: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.words.encode_ordinary(text), "<u4").tobytes()
+        ids = self.words.encode(text, allowed_special=self.added, disallowed_special=())
+        return np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if self.blank.search(text):

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sharewise.llm.text import raw, struct
@@ -411,10 +411,25 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, contents: DataFrame, length: int) -> DataFrame:
-    """The bytes of contents, cut from the text of one of their runs."""
+    """The bytes of contents, cut from the text of one of their runs.
+
+    Rows that repeat an id and a text are one text here: only the keys are counted to find them,
+    and of those few texts each task hands on one.
+    """
     wanted = contents.groupBy("id", "code").agg(
         F.collect_list(F.struct("anchor", "place", "c1", "c2", "n")).alias("wanted")
     )
+    counts = rows.groupBy("id", "code").agg(F.count("*").alias("rows"))
+    repeated = stage(counts.filter("rows > 1").select("id", "code"), "suffix-repeated")
+    wanted = stage(wanted, "suffix-wanted")
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return left["id"].eqNullSafe(right["id"]) & (left["code"] == right["code"])
+
+    single = wanted.join(repeated, same(wanted, repeated), "left_anti")
+    double = wanted.join(repeated, same(wanted, repeated), "left_semi")
+    texts = rows.join(repeated, same(rows, repeated), "left_semi")
+    texts = texts.groupBy("id", "code").agg(F.first("text").alias("text"))
     fields = ("anchor", "place", "c1", "c2", "n")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,8 +444,9 @@ def _contexts(rows: DataFrame, contents: DataFrame, length: int) -> DataFrame:
                 spans = pa.array([text[a:b] for a, b in ends], pa.binary())
                 yield pa.RecordBatch.from_arrays([*arrays, spans], names=[*fields, "bytes"])
 
-    same = rows["id"].eqNullSafe(wanted["id"]) & (rows["code"] == wanted["code"])
-    return rows.join(wanted, same).select("text", "wanted").mapInArrow(
+    found = rows.join(single, same(rows, single)).select("text", "wanted")
+    found = found.union(texts.join(double, same(texts, double)).select("text", "wanted"))
+    return found.mapInArrow(
         cut, "anchor bigint, place bigint, c1 bigint, c2 bigint, n bigint, bytes binary"
     )
 

@@ -271,6 +271,27 @@ def test_repeated_strings_like_brute_force(spark, hot):
     assert suffix.remove_repeated(df.filter("false")).count() == 0
 
 
+def test_equal_rows_cost_as_one_in_contexts(spark, monkeypatch):
+    rng = random.Random(8)
+    shared = bytes(rng.randrange(97, 123) for _ in range(230)).decode()
+    rows = [(None, f"one {shared} a")] * 300 + [(5, f"two {shared} b")] * 4 + [(6, f"six {shared}")]
+    contexts = []
+    real = suffix._contexts
+    monkeypatch.setattr(
+        suffix, "_contexts", lambda *a: contexts.append(real(*a)) or contexts[-1]
+    )
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    found = suffix.remove_repeated(df).collect()
+    made = contexts[0]
+    assert made.count() == made.select("c1", "c2").distinct().count() > 0
+    assert len(found) == len(rows)
+    # Whole texts that occur twice go, and of the last row the shared passage with its spaces.
+    removed = sorted({(r.doc_id is None, r.doc_id or 0, r.n_removed) for r in found})
+    assert removed == [
+        (False, 5, len(rows[300][1])), (False, 6, len(shared) + 1), (True, 0, len(rows[0][1])),
+    ]
+
+
 def test_suffix_order_is_the_order_of_suffixes():
     rng = random.Random(2)
     text = bytes(rng.choices(b"ab", k=600))
@@ -475,6 +496,9 @@ def test_token_ids_are_the_tokenizers():
     theirs, mine = Tokenizer.from_file(path), packing.ByteTokenizer(path)
     texts = ["", " ", "a  b", " lead", "trail ", "it's  ok\n\nnew\tline ", "été über ñ 12 345", "x\n y",
              "日本 語 emoji 🙂", "Der Hund, die Katze. Der Hund", "no break   z"]
+    end = "<|endoftext|>"
+    texts += [end, f"{end}a b", f"a b {end}", f"a {end} b", f"a{end}{end}b c", f"{end} {end}  {end}\n",
+              "<|endoftext|", "<|ENDOFTEXT|>", f"a  {end}", f"x y{end}z {end}. x"]
     for text in texts:
         want = theirs.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(mine.ids(text), "<u4").tolist() == want, text
