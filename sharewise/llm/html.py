@@ -4,11 +4,19 @@ A page becomes blocks of text. Each gets a classifier's odds of being content, f
 links and the names of the elements around it; the odds are the capacities to the two terminals.
 Blocks that follow each other, and blocks of one parent, are joined by edges that are dearer the
 closer the blocks lie in the tree. The minimum cut (maximum flow) is the cheapest labelling: it
-pays a block's odds for calling it the other thing and an edge for parting its two blocks.
-
-Defined results: null and empty pages, and pages without a content block, give the empty text.
-Markup that is never closed ends with its parent. Repeated pages give repeated texts; other
-columns pass by, as the answer is one column.
+pays a block's odds for calling it the other thing and an edge for parting its two blocks. Two
+neighbours outweigh a block whose own odds are small: a short line between paragraphs stays, a
+sentence among links goes.
+
+Odds add up an element's kind (``ELEMENT``) and its names. Of a name such as ``article-comments``
+the last word says what it is and counts in full, the words before it say less; words for boxes
+(``GENERIC``) are passed over.
+
+Defined results: null and empty pages, and pages without a content block, give the empty text;
+an empty table gives no row. Markup that is never closed ends with its parent. Elements marked
+``hidden``, ``aria-hidden`` or by a style that shows nothing are no text. A block whose odds tie
+with its edges is no content. Repeated pages give repeated texts; other columns pass by, as the
+answer is one column. Time and memory grow with the page, however deep its elements nest.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -67,70 +75,114 @@ WORDS = dict.fromkeys(
     "sponsored subscribe subscription taboola tags teaser toc toolbar topbar widget".split(),
     -6.0,
 )
+GENERIC = frozenset(
+    "area bar block body box col column container group holder inner item items list module outer "
+    "panel row section wrap wrapper zone".split()
+)
+#: What the words of a name before its last one count, as a share.
+BEFORE = 0.3
 BIAS, PER_WORD, MOST_WORDS, PER_LINK, SENTENCE = -1.0, 0.35, 3.0, -4.0, 0.5
-NEXT_TO, SIBLING, DISTANCE = 0.6, 0.3, 0.6
+NEXT_TO, SIBLING, DISTANCE = 2.0, 0.5, 0.6
 
+#: A quotation mark opens a value only behind an equals sign.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)"
+    r"(?P<rest>(?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)",
     re.DOTALL,
 )
-_NAMES = re.compile(
-    r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE
+_ATTRIBUTE = re.compile(
+    r"(?:^|(?<=[\s\"'/]))(?P<name>class|id|role|hidden|aria-hidden|style)"
+    r"(?:\s*=\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?(?=[\s/\"']|$)",
+    re.IGNORECASE,
 )
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+_NOT_SHOWN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 
 
 class Element(NamedTuple):
     tag: str
-    number: int
-    parent: int
-    """Number of the nearest block element above."""
+    block: int
+    """Number of the block element that it is or lies in."""
     odds: float
+    """Its own and those of all elements around it."""
     hidden: bool
+    linked: bool
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[int, ...]
-    """Numbers of the block elements around it, outermost first."""
+    element: int
     odds: float
 
 
-def _element_odds(tag: str, rest: str) -> float:
-    odds = ELEMENT.get(tag, 0.0)
-    if "=" in rest and tag not in ("html", "body"):
-        for found in _NAMES.finditer(rest):
-            names = re.split(r"[^a-z]+", (found[1] or found[2] or found[3] or "").lower())
-            odds += min((WORDS[n] for n in names if n in WORDS), default=0.0)
-    return odds
+class Page(NamedTuple):
+    """Blocks with a visible sign in page order, and parent and depth of each block element."""
+
+    blocks: list[Block]
+    parent: list[int]
+    depth: list[int]
+
+
+def _name_odds(name: str) -> float:
+    """Odds of one word of a class, an id or a role."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    while len(words) > 1 and words[-1] in GENERIC:
+        words.pop()
+    before = sum(WORDS.get(w, 0.0) for w in words[:-1])
+    return WORDS.get(words[-1], 0.0) + BEFORE * before if words else 0.0
+
 
+def _element_odds(tag: str, rest: str) -> tuple[float, bool]:
+    """What an element says about the text inside it, and whether that text is hidden."""
+    odds, hidden = ELEMENT.get(tag, 0.0), False
+    for found in _ATTRIBUTE.finditer(rest):
+        name = found["name"].lower()
+        value = found["a"] or found["b"] or found["c"] or ""
+        if name == "hidden":
+            hidden |= value.lower() != "until-found"
+        elif name == "aria-hidden":
+            hidden |= value.lower() == "true"
+        elif name == "style":
+            hidden |= bool(_NOT_SHOWN.search(value))
+        elif tag not in ("html", "body"):
+            own = [_name_odds(n) for n in value.lower().split()]
+            odds += min((x for x in own if x), default=0.0)
+    return odds, hidden
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks with a visible sign, in page order."""
+
+def blocks(page: str) -> Page:
+    """The page's blocks of text, with the tree of block elements."""
     out: list[Block] = []
-    stack: list[Element] = []
+    parent, depth = [0], [0]
+    stack: list[Element] = [Element("", 0, 0.0, False, False)]
+    open_: Counter[str] = Counter()
     words: list[str] = []
-    linked = total = number = 0
+    linked = total = 0
     at, end = 0, len(page)
 
     def close() -> None:
         nonlocal linked, total
         text = " ".join("".join(words).split())
         if text:
-            own = [e for e in stack if e.tag in BLOCKS]
-            odds = _text_odds(text, linked / max(1, total)) + sum(e.odds for e in stack)
-            out.append(Block(text, tuple(e.number for e in own), odds))
+            odds = _text_odds(text, linked / max(1, total)) + stack[-1].odds
+            out.append(Block(text, stack[-1].block, odds))
         words.clear()
         linked = total = 0
 
+    def pop() -> str:
+        tag = stack.pop().tag
+        open_[tag] -= 1
+        return tag
+
     while at < end:
         m = _MARKUP.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not (stack and stack[-1].hidden):
+        if stop > at and not stack[-1].hidden:
             piece = html.unescape(page[at:stop])
             words.append(piece)
             total += len(piece)
-            if any(e.tag == "a" for e in stack):
+            if stack[-1].linked:
                 linked += len(piece)
         if not m:
             break
@@ -139,44 +191,52 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            if any(e.tag == tag for e in stack):
+            if open_[tag] > 0:
                 if tag in BLOCKS:
                     close()
-                while stack.pop().tag != tag:
+                while pop() != tag:
                     pass
             elif tag in BLOCKS:
                 close()
             continue
         if tag in BLOCKS:
             close()
-            _implied_ends(stack, tag)
+            for _ in range(_implied_ends(stack, tag)):
+                pop()
         elif tag in ("br", "wbr"):
             words.append("\n" if tag == "br" else "")
-        if tag in VOID or m["rest"].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or _CLOSED.search(m["rest"]) and tag not in BLOCKS:
             continue
         if tag in RAW:
             # Its contents are not markup; they end with its own end mark.
             last = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             at = last.end() if last else end
             continue
-        number += 1
-        hidden = tag in UNSEEN or bool(stack and stack[-1].hidden)
-        above = stack[-1].number if stack else 0
-        stack.append(Element(tag, number, above, _element_odds(tag, m["rest"]), hidden))
-        if tag == "body":  # ends a head that was left open
+        above = stack[-1]
+        odds, hidden = _element_odds(tag, m["rest"])
+        number = above.block
+        if tag in BLOCKS:
+            number = len(parent)
+            parent.append(above.block)
+            depth.append(depth[above.block] + 1)
+        open_[tag] += 1
+        hidden |= tag in UNSEEN or above.hidden
+        stack.append(Element(tag, number, above.odds + odds, hidden, above.linked or tag == "a"))
+        if tag == "body" and open_["head"] > 0:  # ends a head that was left open
+            open_["head"] = 0
             stack[:] = [e._replace(hidden=False) for e in stack if e.tag != "head"]
     close()
-    return out
+    return Page(out, parent, depth)
 
 
-def _implied_ends(stack: list[Element], tag: str) -> None:
-    """Close what the beginning of ``tag`` ends, with the inline elements inside it."""
-    for at in range(len(stack) - 1, -1, -1):
+def _implied_ends(stack: list[Element], tag: str) -> int:
+    """How many elements the beginning of ``tag`` ends: one, and the inline ones inside it."""
+    for at in range(len(stack) - 1, 0, -1):
         if tag in CLOSED_BY.get(stack[at].tag, ()):
-            del stack[at:]
-            return
+            return len(stack) - at
         if stack[at].tag in BLOCKS:
-            return
+            return 0
+    return 0
 
 
 def _text_odds(text: str, link_share: float) -> float:
@@ -185,26 +245,32 @@ def _text_odds(text: str, link_share: float) -> float:
     return odds + (SENTENCE if text[-1] in ".!?:;…\"'" else 0.0)
 
 
-def edges(found: list[Block]) -> list[tuple[int, int, float]]:
+def edges(page: Page) -> list[tuple[int, int, float]]:
     """Smoothness: neighbours in page order, and the next block under the same parent."""
     out, last = [], {}
-    for i, block in enumerate(found):
+    for i, block in enumerate(page.blocks):
         if i:
-            before = found[i - 1].path
-            common = 0
-            for a, b in zip(before, block.path, strict=False):
-                if a != b:
-                    break
-                common += 1
-            apart = len(before) + len(block.path) - 2 * common
+            apart = _apart(page, page.blocks[i - 1].element, block.element)
             out.append((i - 1, i, NEXT_TO * math.exp(-DISTANCE * apart / 2)))
-        parent = block.path[:-1]
-        if parent in last and last[parent] != i - 1:
-            out.append((last[parent], i, SIBLING))
-        last[parent] = i
+        above = page.parent[block.element]
+        if above in last and last[above] != i - 1:
+            out.append((last[above], i, SIBLING))
+        last[above] = i
     return out
 
 
+def _apart(page: Page, a: int, b: int) -> int:
+    """Steps from one block element to another over the nearest one around both."""
+    steps = 0
+    while a != b:
+        if page.depth[a] >= page.depth[b]:
+            a = page.parent[a]
+        else:
+            b = page.parent[b]
+        steps += 1
+    return steps
+
+
 def minimum_cut(odds: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay with the source in a minimum cut.
 
@@ -275,8 +341,8 @@ def minimum_cut(odds: list[float], links: list[tuple[int, int, float]]) -> list[
 def main_text(page: str) -> str:
     """The content blocks of a whole page, joined by an empty line."""
     found = blocks(page)
-    kept = minimum_cut([b.odds for b in found], edges(found))
-    return "\n\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
+    kept = minimum_cut([b.odds for b in found.blocks], edges(found))
+    return "\n\n".join(b.text for b, keep in zip(found.blocks, kept, strict=True) if keep)
 
 
 def extract(column: Column | str) -> Column:
