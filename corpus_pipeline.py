@@ -8,6 +8,8 @@ folder and read again as the next one's ``docs``. All but the last return the co
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,10 @@ from sharewise.llm.text import held_out
 from sharewise.session import stage
 
 
+def _new_name(docs: DataFrame) -> str:
+    return max(docs.columns, key=len) + "_"
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; rows without text stay."""
     labels = queries.table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
@@ -27,17 +33,23 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints: the one with the smallest id.
 
-    Rows that repeat an id count as one document; rows without an id cannot be named and stay.
+    A document is a row's id and text together, so different texts under one id are looked at
+    apart and rows that repeat both are one. Rows without an id come last, in the order of
+    their texts' digests.
     """
-    found = simhash.near_duplicates(docs, shingle=3, max_bits=3)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    key = _new_name(docs)
+    place = F.col("doc_id").cast("decimal(20,0)") + F.lit(Decimal(2**63))  # in order as digits
+    place = F.coalesce(F.lpad(place.cast("string"), 20, "0"), F.lit("without an id"))
+    own = F.concat_ws(" ", place, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    named = docs.withColumn(key, own)
+    found = simhash.near_duplicates(named, key=key, shingle=3, max_bits=3)
+    kept = found.filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    return named.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item; a row or item without an id goes by its text."""
-    key = max(docs.columns, key=len) + "_"  # a name that no column has
+    key = _new_name(docs)
     own = F.concat(F.lit("text "), F.sha2(F.col("text"), 256))
     named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), own))
     items = queries.table(spark, sf_dir, "benchmark")
