@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -40,8 +41,8 @@ LEAST_ODDS = 20
 UNSEEN = 1
 #: What a sign written for a letter stands for.
 LOOKALIKES = {
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s",
-    "!": "i", "|": "i", "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j",
+    "0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "b", "7": "t", "8": "b",
+    "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j",
     "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a",
     "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
     "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g",
@@ -74,6 +75,9 @@ def _fold_table() -> np.ndarray:
             for form in {sign, sign.upper()}:
                 if len(form) == 1:
                     table[ord(form)] = ord(letter)
+        for sign in range(0x300, 0x110000):  # marks on a letter before them
+            if unicodedata.category(chr(sign)) in ("Mn", "Me"):
+                table[sign] = 0
         for sign in INVISIBLE:
             table[ord(sign)] = 0
         _FOLD.append(table)
@@ -83,7 +87,8 @@ def _fold_table() -> np.ndarray:
 def fold(text: str) -> str:
     """The folded text, with one space before, between and after the words.
 
-    Marks that often end a sentence (``!`` and ``|``) stand for letters only inside a word.
+    Combining marks are left out; a letter that is one sign with its mark keeps it. Marks that
+    often end a sentence (``!`` and ``|``) stand for letters only inside a word.
     """
     found = codes(text)
     chars = _fold_table()[found]
@@ -208,7 +213,6 @@ def fit(
     sample: int = SAMPLE,
     min_share: float = 0.01,
     min_contexts: int = 6,
-    max_patterns: int = 20_000,
 ) -> Lexicon:
     """Learn the lexicon from about ``sample`` labelled rows (the documented bound).
 
@@ -237,9 +241,7 @@ def fit(
         .groupBy("pattern")
         .count()
         .filter(F.col("count") >= least)
-        .orderBy(F.desc("count"), "pattern")
-        .limit(max_patterns * 4)
-        .collect()
+        .collect()  # words of the learning sample
     )
     listed = {row["pattern"]: row["count"] for row in found}
     names = docs.sparkSession.sparkContext.broadcast(set(listed))
@@ -269,7 +271,7 @@ def fit(
         odds = contexts * more_clean / (clean.get(pattern, 0) + UNSEEN)
         if odds >= LEAST_ODDS:
             weights[pattern] = min(1.0, math.log(odds) / math.log(50 * LEAST_ODDS))
-    kept = dict(sorted(_pruned(weights, listed).items(), key=lambda x: (-x[1], x[0]))[:max_patterns])
+    kept = dict(sorted(_pruned(weights, listed).items()))
     return Lexicon(kept, _rate(rows, kept))
 
 

@@ -80,6 +80,8 @@ def queries_empty(df, make):
 
 def test_fold_undoes_disguises():
     assert toxicity.fold("You 1d10t! ЅtuрІd s​cum, $tupid") == " you idiot stupid scum stupid "
+    assert toxicity.fold("dis9usting 2ombie i\u0301dio\u0336t \u0301x") == " disgusting zombie idiot x "
+    assert toxicity.fold("schön été") == " schön été "
     assert toxicity.fold("") == "  "
 
 
@@ -581,6 +583,20 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in docs.collect()} == kept
 
 
+def test_pipeline_takes_rows_of_one_id_by_their_text(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, one), (1, two), (1, two), (2, one + " end"), (None, two), (None, three), (None, three),
+            (-5, three + " end"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("source", F.lit("s")).repartition(5)
+    kept = corpus_pipeline.remove_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert found == sorted([(1, one), (1, two), (-5, three + " end"), (3, None)], key=lambda r: (r[0], r[1] or ""))
+    assert corpus_pipeline.remove_near_duplicates(spark, docs.filter("false"), "").count() == 0
+
+
 def test_pipeline_takes_rows_without_an_id_by_their_text(spark):
     import corpus_pipeline
 
