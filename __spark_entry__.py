@@ -156,6 +156,44 @@ def metadata_snapshot(spark, sf):
     return tables.refresh_metadata(spark, snapshot, project_universe(spark, sf), fetch)
 
 
+def pair_quarantine(spark, sf):
+    """Raw training lines of which some lost their id, spell it with letters or have a field too
+    many, read with the malformed ones set apart: rows by outcome, and the weight that is left."""
+    path, aside = scratch_path(spark, "lines"), scratch_path(spark, "quarantine")
+    at = F.col("id")
+    spoilt = src.raw_train(spark, sf).select(
+        F.when(at % 97 == 0, F.concat(F.lit("x"), at)).when(at % 89 != 1, at.cast("string")).alias("id"),
+        "project_a", "project_b", F.col("weight_a").cast("string").alias("weight_a"),
+        F.concat(F.col("weight_b").cast("string"), F.when(at % 83 == 2, ",1").otherwise("")).alias("weight_b"),
+    )
+    spoilt.write.option("header", True).option("quote", "").csv(path)
+    good, _ = tables.read_pairs_checked(spark, path, quarantine=aside)
+    kept = good.agg(
+        F.lit("good").alias("outcome"), F.count(F.lit(1)).alias("n_rows"),
+        F.sum("weight_a").alias("weight"),
+    )
+    bad = spark.read.parquet(aside).groupBy(F.col("reason").alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.lit(None).cast("double").alias("weight")
+    )
+    return rounded(kept.unionByName(bad))
+
+
+def metadata_versions(spark, sf):
+    """Metadata published three times: all projects, then records older than those, then newer
+    ones of some. Of each project the newest record is left, whatever came last."""
+    records, path = src.repo_metadata(spark, sf), scratch_path(spark, "versions")
+    tables.merge_metadata(spark, path, records)
+    stale = {"updated_at": F.col("created_at"), "stargazers_count": F.lit(-1).cast("bigint")}
+    tables.merge_metadata(spark, path, records.withColumns(stale))
+    fresh = {
+        "updated_at": F.lit("2030-01-01T00:00:00Z"),
+        "stargazers_count": F.col("stargazers_count") + 1000,
+    }
+    fetched = records.filter("size % 3 = 0").withColumns(fresh)
+    final = tables.merge_metadata(spark, path, fetched)
+    return final.select("full_name", "updated_at", "stargazers_count", "size")
+
+
 # --- target encoding ---------------------------------------------------------------------
 
 
@@ -522,6 +560,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "join_fanout_audit": join_fanout_audit,
         "pairs_snapshot": pairs_snapshot,
         "metadata_snapshot": metadata_snapshot,
+        "metadata_versions": metadata_versions,
+        "pair_quarantine": pair_quarantine,
         "temporal_features": _features(
             "created_dt", "updated_dt", "days_since_update", "age_days",
             "created_dt_b", "updated_dt_b", "days_since_update_b", "age_days_b",
