@@ -116,11 +116,32 @@ def pairs_with_metadata_folded_whole(spark, sf):
     )
 
 
-def join_fanout_audit(spark, sf):
-    """With the archived projects recorded twice in the dimension."""
+def _doubled(spark, sf):
+    """The dimension, with the archived projects recorded twice."""
     dim = src.dimension(spark, sf)
-    doubled = dim.unionByName(dim.filter("is_archived"))
-    return metadata.fanout_audit(src.mirrored(spark, sf), doubled)
+    return dim.unionByName(dim.filter("is_archived"))
+
+
+def join_fanout_audit(spark, sf):
+    return metadata.fanout_audit(src.mirrored(spark, sf), _doubled(spark, sf))
+
+
+def join_fanout_forecast(spark, sf):
+    """The bound before the join next to the exact counts: it must not be below them, and with
+    more cells than keys it is near."""
+    pairs_, dim = src.mirrored(spark, sf), _doubled(spark, sf)
+    exact = metadata.fanout_audit(pairs_, dim).select("rows_after_a", "rows_after_b")
+    known = exact.select(F.struct("*")).scalar()
+    bound = metadata.fanout_forecast(pairs_, dim)
+    return bound.select(
+        "rows_before",
+        known["rows_after_b"].alias("rows_after_b"),
+        (
+            (F.col("most_after_a") >= known["rows_after_a"])
+            & (F.col("most_after_b") >= known["rows_after_b"])
+        ).alias("never_below"),
+        (F.col("most_after_b") <= 1.5 * known["rows_after_b"]).alias("near"),
+    )
 
 
 # --- snapshots ---------------------------------------------------------------------------
@@ -266,6 +287,10 @@ def fold_assignment(spark, sf):
     return _folded(spark, sf).select(*KEY, "fold")
 
 
+def equal_folds(spark, sf):
+    return folds.assign_equal_folds(src.mirrored(spark, sf)).select(*KEY, "fold")
+
+
 def fold_mse(spark, sf):
     return rounded(folds.fold_scores(folds.mean_baseline(_folded(spark, sf))))
 
@@ -558,6 +583,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pairs_with_metadata_folded": pairs_with_metadata_folded,
         "pairs_with_metadata_folded_whole": pairs_with_metadata_folded_whole,
         "join_fanout_audit": join_fanout_audit,
+        "join_fanout_forecast": join_fanout_forecast,
         "pairs_snapshot": pairs_snapshot,
         "metadata_snapshot": metadata_snapshot,
         "metadata_versions": metadata_versions,
@@ -595,6 +621,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "funding_sql": funding_sql,
         "repo_lookup": repo_lookup,
         "fold_assignment": fold_assignment,
+        "equal_folds": equal_folds,
         "fold_mse": fold_mse,
         "cv_summary": cv_summary,
         "error_diversity": error_diversity,

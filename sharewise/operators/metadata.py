@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sharewise.operators.joins import key_counts, lookup_join
@@ -49,6 +49,10 @@ def missing_metadata(projects: DataFrame, dimension: DataFrame) -> DataFrame:
     return projects.join(known, "project", "left_anti")
 
 
+#: Cells in a row of the key sketch, and rows.
+WIDTH, DEPTH = 1 << 14, 3
+
+
 def side_columns(dimension: DataFrame, side: str) -> DataFrame:
     """The dimension as it appears on one side: plain names for a, ``_b`` names for b."""
     suffix = "" if side == "a" else "_b"
@@ -108,3 +112,59 @@ def fanout_audit(pairs: DataFrame, dimension: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("copies_a").isNull(), F.col("n")).otherwise(0)).alias("unmatched_a"),
         F.sum(F.when(F.col("copies_b").isNull(), F.col("n")).otherwise(0)).alias("unmatched_b"),
     )
+
+
+class Fanout(ValueError):
+    """A join that would make more rows than it may."""
+
+
+def fanout_forecast(
+    pairs: DataFrame, dimension: DataFrame, width: int = WIDTH, depth: int = DEPTH
+) -> DataFrame:
+    """Bounds of the row counts of ``fanout_audit`` before any join: ``rows_before``,
+    ``most_after_a`` and ``most_after_b``, never below the exact counts.
+
+    A count-min sketch of the dimension's keys has ``depth`` rows of ``width`` cells, each with
+    the number of keys that fall into it, so no key has more copies than its cell. Pairs are
+    read once, looking up cells: a pair makes at most as many rows as the cells of its two
+    sides say. No pair is shuffled, and what travels is the sketch, of one size whatever the
+    tables. The least of the ``depth`` sums is the bound; it is loose where far more keys than
+    ``width`` share the cells.
+    """
+
+    def slot(key: str, row: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(row), key), F.lit(width)) + row * width
+
+    keys = dimension.filter("project_id is not null")
+    slots = F.explode(F.array(*[slot("project_id", row) for row in range(depth)]))
+    counts = keys.select(slots.alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    grid = pairs.sparkSession.range(depth * width).withColumnRenamed("id", "slot")
+    cells = grid.join(counts, "slot", "left").agg(
+        F.sort_array(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n"))))
+        .getField("n").alias("cells")
+    )
+    sketch = cells.scalar()
+
+    def copies(side: str, row: int) -> Column:
+        return F.greatest(sketch[slot(f"project_{side}", row).cast("int")], F.lit(1))
+
+    one = [F.sum(copies("a", row)) for row in range(depth)]
+    both = [F.sum(copies("a", row) * copies("b", row)) for row in range(depth)]
+    none = F.lit(0).cast("bigint")
+    return pairs.agg(
+        F.count(F.lit(1)).alias("rows_before"),
+        F.coalesce(F.least(*one), none).alias("most_after_a"),
+        F.coalesce(F.least(*both), none).alias("most_after_b"),
+    )
+
+
+def check_fanout(pairs: DataFrame, dimension: DataFrame, times: float) -> None:
+    """Stop before a metadata join that may make over ``times`` as many rows as there are
+    pairs. A bound over the limit is looked at again by the exact audit."""
+    row = fanout_forecast(pairs, dimension).first()
+    limit = times * row["rows_before"]
+    if row["most_after_b"] <= limit:
+        return
+    exact = fanout_audit(pairs, dimension).first()
+    if exact["rows_after_b"] > limit:
+        raise Fanout(f"{row['rows_before']} pairs would become {exact['rows_after_b']} rows")
