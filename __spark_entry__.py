@@ -236,6 +236,15 @@ def loo_expansion(spark, sf):
     return target.expansion_audit(src.mirrored(spark, sf), "a")
 
 
+def expanded_stats(spark, sf):
+    stats = target.expanded_stats(src.mirrored(spark, sf), "a")
+    return rounded(stats.drop("n_both"), digits=4)
+
+
+def expanded_summary(spark, sf):
+    return rounded(target.expanded_summary(src.mirrored(spark, sf), "a"))
+
+
 # --- funding -----------------------------------------------------------------------------
 
 
@@ -615,6 +624,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "target_encoding_loo": target_encoding_loo,
         "loo_values": loo_values,
         "loo_expansion": loo_expansion,
+        "expanded_stats": expanded_stats,
+        "expanded_summary": expanded_summary,
         "funding_by_quarter": funding_by_quarter,
         "top_repo": top_repo,
         "funding_with_repo": funding_with_repo,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sharewise.functions import ratio
 from sharewise.operators.joins import lookup_join
 
 SINGLETONS = ("own", "global_mean")
@@ -114,3 +115,62 @@ def expansion_audit(df: DataFrame, side: str) -> DataFrame:
         "distinct_values",
         (F.col("n_rows") * F.coalesce("distinct_values", F.lit(1))).alias("expanded_rows"),
     )
+
+
+def expanded_stats(df: DataFrame, side: str) -> DataFrame:
+    """Per project, over the expanded form in which each of its rows meets each distinct value:
+    ``expanded_rows`` and the sums of weights, of values, and of the squares and products.
+
+    A sum over a product of two lists is a product of sums over each, so the rows and the values
+    of a project stay apart: one row a project on either side, and the product is never made.
+    A project without a value keeps its rows, as in a left join.
+    """
+    weight, value = F.col(f"weight_{side}"), F.col("mean_weight")
+    rows = df.groupBy(F.col(f"project_{side}").alias("project")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(weight).alias("n_w"),
+        F.sum(weight).alias("w"),
+        F.sum(weight * weight).alias("ww"),
+    )
+    values = leave_one_out_values(df, side).groupBy("project").agg(
+        F.count(F.lit(1)).alias("k"),
+        F.count(value).alias("k_v"),
+        F.sum(value).alias("v"),
+        F.sum(value * value).alias("vv"),
+    )
+    times = F.coalesce("k", F.lit(1))
+    return rows.join(values, "project", "left").select(
+        "project",
+        (F.col("n") * times).alias("expanded_rows"),
+        (F.col("w") * times).alias("sum_weight"),
+        (F.col("ww") * times).alias("sum_weight_squared"),
+        (F.col("v") * F.col("n")).alias("sum_value"),
+        (F.col("vv") * F.col("n")).alias("sum_value_squared"),
+        (F.col("w") * F.col("v")).alias("sum_product"),
+        (F.col("n_w") * F.coalesce("k_v", F.lit(0))).alias("n_both"),
+    )
+
+
+def expanded_summary(df: DataFrame, side: str) -> DataFrame:
+    """One row over all projects: size of the expanded form, means of weight and value in it, and
+    their correlation; the row weights of the expansion are all in ``expanded_stats``."""
+    names = ("weight", "value")
+    sums = expanded_stats(df, side).agg(
+        F.sum("expanded_rows").alias("expanded_rows"),
+        F.sum("n_both").alias("n"),
+        *[F.sum(f"sum_{c}").alias(c) for c in names],
+        *[F.sum(f"sum_{c}_squared").alias(f"{c}_squared") for c in names],
+        F.sum("sum_product").alias("product"),
+    )
+
+    def spread(c: str) -> Column:
+        return F.col(f"{c}_squared") / F.col("n") - F.pow(F.col(c) / F.col("n"), F.lit(2))
+
+    joint = F.col("product") / F.col("n") - F.col("weight") * F.col("value") / F.pow("n", F.lit(2))
+    scale = F.sqrt(F.greatest(spread("weight") * spread("value"), F.lit(0.0)))
+    return sums.select(
+        "expanded_rows",
+        ratio(F.col("weight"), F.col("n")).alias("mean_weight"),
+        ratio(F.col("value"), F.col("n")).alias("mean_value"),
+        (joint / F.nullif(scale, F.lit(0.0))).alias("correlation"),
+    )

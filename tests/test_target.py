@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from sharewise.operators import target
 from sharewise.operators.target import (
     expansion_audit,
     leave_one_out_values,
@@ -67,3 +70,24 @@ def test_encoding_without_broadcast(spark, pair_frame):
         assert encoded(pair_frame(ROWS)) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sums_over_the_expanded_form_without_making_it(pair_frame):
+    rng = random.Random(4)
+    rows = [(i, f"p{rng.randrange(6)}", f"q{i % 3}", rng.choice([0.25, 0.5, 0.75, None]), 0.5) for i in range(60)]
+    rows.append((99, "alone", "q1", None, None))
+    df = pair_frame(rows)
+    values = target.leave_one_out_values(df, "a").withColumnRenamed("project", "project_a")
+    product = df.join(values, "project_a", "left").collect()
+    found = {r.project: r for r in target.expanded_stats(df, "a").collect()}
+    assert set(found) == {r.project_a for r in product}
+    for name, got in found.items():
+        own = [(r.weight_a, r.mean_weight) for r in product if r.project_a == name]
+        assert got.expanded_rows == len(own)
+        w, v = ([x[i] for x in own if x[i] is not None] for i in (0, 1))
+        if w:
+            assert (got.sum_weight, got.sum_value) == (pytest.approx(sum(w)), pytest.approx(sum(v)))
+            assert got.sum_weight_squared == pytest.approx(sum(x * x for x in w))
+            both = [a * b for a, b in own if a is not None and b is not None]
+            assert got.sum_product == pytest.approx(sum(both)) and got.n_both == len(both)
+    assert target.expanded_stats(df.filter("false"), "a").count() == 0
