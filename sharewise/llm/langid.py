@@ -7,8 +7,8 @@ text against it.
 
 Defined results: a null text, an empty one or one without a letter is ``und`` with score 0;
 equal likelihoods go to the language first in alphabetical order; rows with a null or empty
-label teach nothing; with no labelled row at all every text is ``und``. Repeated rows get
-repeated answers. Other columns pass through; the answer is one struct column whose name the
+label teach nothing; with no labelled row at all every text is ``und``. An empty table gives no row,
+repeated rows get repeated answers. Other columns pass through; the answer is one struct column whose name the
 caller chooses, so nothing clashes.
 """
 
@@ -28,6 +28,8 @@ UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 BITS = 15
 SAMPLE_PER_LANGUAGE = 4000
+#: The languages that a model has at most: those with the most rows.
+MOST_LANGUAGES = 200
 PIECE = 1 << 18
 #: Odd multipliers of the hash, one for each order.
 _MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
@@ -73,13 +75,15 @@ def fit(
 ) -> NaiveBayes:
     """Learn from about ``per_language`` rows of each language, taken by a hash of ``key``.
 
-    The bound is the documented limit of the learning sample; prediction knows none. Languages
-    are expected to be few: the model is collected.
+    The bound is the documented limit of the learning sample; prediction knows none. Of a column
+    with more than ``MOST_LANGUAGES`` values those with the most rows are learnt (ties in
+    alphabetical order), so the model that is collected stays small.
     """
     labelled = docs.select(
         F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")
     ).filter("lang is not null and lang <> '' and text is not null")
-    sizes = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().collect()}
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    sizes = {row["lang"]: row["count"] for row in common.collect()}
     if not sizes:
         return NaiveBayes([], np.zeros((1 << BITS, 0)), np.zeros(0))
     names, fine = sorted(sizes), 1 << 20
@@ -125,9 +129,8 @@ def fit(
 def classify(text: str, model: NaiveBayes) -> tuple[str, float]:
     """The likeliest language and its posterior probability."""
     counts = gram_counts(text)
-    space = gram_counts(" ") if text else counts
     found = np.flatnonzero(counts)
-    if not model.languages or not len(found) or not (counts - np.minimum(space, counts)).any():
+    if not model.languages or not len(found):
         return UNDETERMINED, 0.0
     score = counts[found].astype(np.float32) @ model.log_prob[found] + model.log_prior
     best = int(np.argmax(score))

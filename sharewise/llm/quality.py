@@ -15,7 +15,10 @@ characters of ``#*$%&|<>``; ``n_dup_lines`` lines with a word that equal an earl
 
 Defined results: a null text is an empty one, with no word, and fails. Texts too short to have
 a histogram (``MIN_WORDS``) are never judged by divergence, nor is any text while there is no
-reference. Rows without a language teach nothing; repeated rows count each time they occur.
+reference. Rows without a language teach nothing, nor do languages beyond the ``MOST_LANGUAGES``
+with the most words; repeated rows count each time they occur. An empty table gives no row and
+no reference. ``CHAR_LIMIT`` and ``WORD_LIMIT`` are constants, set by hand between clean and junk
+texts of labelled rows.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ MIN_WORDS = 50
 COMMON = 0.002
 CHAR_LIMIT = 0.31
 WORD_LIMIT = 0.5
+#: The languages that are referred to at most: those with the most words.
+MOST_LANGUAGES = 200
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 #: Words are flushed to Spark's aggregate whenever a task holds so many different ones.
@@ -132,14 +137,13 @@ def references(
     )
     bare_counts = counts.groupBy("lang", bare.alias("word")).agg(F.sum("n").alias("n")).persist()
     is_word = ~F.col("word").startswith(" ")
-    totals = {
-        r["lang"]: r["n"]
-        for r in bare_counts.filter(is_word).groupBy("lang").agg(F.sum("n").alias("n")).collect()
-    }
+    sizes = bare_counts.filter(is_word).groupBy("lang").agg(F.sum("n").alias("n"))
+    most = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    totals = {r["lang"]: r["n"] for r in most.collect()}
     kept = ~is_word
     for name, n in totals.items():
         kept = kept | ((F.col("lang") == name) & (F.col("n") >= common * n))
-    found = bare_counts.filter(kept).collect()
+    found = bare_counts.filter(F.col("lang").isin(list(totals)) & kept).collect()
     bare_counts.unpersist()
     names = sorted({r["lang"] for r in found})
     chars = np.zeros((len(names), N_CLASSES - 1))
