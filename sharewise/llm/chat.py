@@ -17,7 +17,7 @@ turn or begin one.
 
 Defined results: null texts and roles are empty; turns of a conversation go by turn, then role
 and text, null turns first; rows with the same turn are both kept; conversations without an id
-are one conversation. Extra columns are not read.
+are one conversation. An empty table gives no row. Extra columns are not read.
 """
 
 from __future__ import annotations

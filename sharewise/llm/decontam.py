@@ -16,7 +16,7 @@ containment on the shingles' words. All of it is DataFrame functions.
 Defined results: null and empty texts and items contain nothing and are in nothing; rows sharing
 a key count as one text (rows without a key too), items sharing an id as one item each by its
 own words, items without an id cannot be named and are left out; a pair is returned once, with
-the largest containment. Columns of other names are not read.
+the largest containment. An empty table of texts or items gives no row. Columns of other names are not read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ E-mail addresses, access keys and assigned secrets have no number format: their
 keyed digests of the same length (addresses: of fixed length), again equal for equal values.
 
 A number that fails validation is left as it is. Defined results: a null text stays null, with
-no finds; an empty one stays empty. Repeated rows are treated alike; other columns pass by.
+no finds; an empty one stays empty. Where two forms fit, the one that begins first counts, then the one
+listed first. Repeated rows are treated alike, an empty table gives no row; other columns pass by.
 """
 
 from __future__ import annotations

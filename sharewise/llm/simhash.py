@@ -19,7 +19,7 @@ fingerprint or component that holds more than a task's load is split where it is
 
 Defined results: a null text is an empty one; a text without a word has fingerprint zero,
 linked like any other; with fewer words than a shingle all words are one shingle. Repeated rows
-share their component. A null key gets the component of its text and names no component.
+share their component. An empty table gives no row. A null key gets the component of its text and names no component.
 """
 
 from __future__ import annotations

@@ -6,12 +6,13 @@ word or the beginning of a word. A word scores the largest weight among the patt
 it, unless it lies in an exception phrase; the sum is divided by the number of words, and
 ``1 - exp(-rate * that)`` is the score.
 
-The lexicon is learnt from labelled rows: words and word beginnings that come with many
+The lexicon is learnt from labelled rows (about ``SAMPLE`` of them, the one bound of the fit): words and word beginnings that come with many
 different neighbours in toxic texts and hardly ever in others (neighbours, so that copies of
 one toxic text do not promote its ordinary words).
 
 Defined results: null and empty texts score 0; without labelled toxic rows the lexicon is empty
-and every score is 0. Repeated rows score alike. The answer is one double column, so columns of
+and every score is 0. Repeated rows score alike, an empty table gives no row. Of patterns that
+match at one place the heaviest counts, so ties do not matter. The answer is one double column, so columns of
 any name may stand beside it.
 """
 
