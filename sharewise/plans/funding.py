@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sharewise.session import stage
+from sharewise.sources.snapshots import is_complete
+
 
 def funding_by_quarter(funding: DataFrame) -> DataFrame:
     """Total per quarter, funder, pool and project, rounded half away from zero."""
@@ -19,6 +22,39 @@ def funding_by_quarter(funding: DataFrame) -> DataFrame:
     ).agg(F.round(F.sum("amount")).cast("bigint").alias("total_funding_usd"))
 
 
+def refresh_funding(spark: SparkSession, path: str, batch: str, facts: DataFrame) -> DataFrame:
+    """Add a batch of facts to those under ``path`` and bring the report there up to date.
+
+    Facts lie in a folder a quarter and batch, the report in a folder a quarter, and a write
+    replaces just the folders that it fills. So only the quarters that a batch touches are read
+    and worked out again, however old they are, and a batch that is written again after a crash
+    takes its own place instead of counting twice. Writers take turns.
+    """
+    named = facts.withColumns({"part": _part(F.col("time")), "batch": F.lit(batch)})
+    new = stage(named, "facts")
+    _fill(new, f"{path}/facts", "part", "batch")
+    parts = [r["part"] for r in new.select("part").distinct().collect()]  # quarters are few
+    if parts:
+        known = spark.read.schema(new.schema).parquet(f"{path}/facts")
+        totals = funding_by_quarter(known.filter(F.col("part").isin(parts)))
+        totals = totals.withColumn("part", _part(F.col("quarter")))
+        _fill(stage(totals, "quarters"), f"{path}/report", "part")
+    shape = funding_by_quarter(facts).withColumn("part", F.lit("")).schema
+    if not is_complete(spark, f"{path}/report/*"):
+        return spark.createDataFrame([], shape).drop("part")
+    return spark.read.schema(shape).parquet(f"{path}/report").drop("part")
+
+
+def _part(time: Column) -> Column:
+    """The folder of a time's quarter; facts without a time have one of their own."""
+    return F.coalesce(F.concat(F.year(time), F.lit("Q"), F.quarter(time)), F.lit("none"))
+
+
+def _fill(df: DataFrame, path: str, *by: str) -> None:
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*by).parquet(path)
+
+
 def top_repo(repositories: DataFrame, urls: Sequence[str] | None = None) -> DataFrame:
     """Each project's repository with the most stars; equal stars go to the later name."""
     if urls is not None:
