@@ -144,19 +144,19 @@ class Packer:
     def __init__(self, limits: Limits = Limits(), pool: int = POOL, divisible: bool = True):
         self.limits, self.divisible, self.size = limits, divisible, pool
         self.items: list[Piece] = []
-        self.demand = np.zeros((pool + 2, 3))
+        self.demand = np.zeros((2, pool + 2))  # tokens and loss; each takes one segment
 
     def _wait(self, piece: Piece) -> None:
-        if len(self.items) >= len(self.demand):
-            self.demand = np.vstack([self.demand, np.zeros_like(self.demand)])
-        self.demand[len(self.items)] = piece.length, 1, piece.loss
+        if len(self.items) >= self.demand.shape[1]:
+            self.demand = np.hstack([self.demand, np.zeros_like(self.demand)])
+        self.demand[:, len(self.items)] = piece.length, piece.loss
         self.items.append(piece)
 
     def _take(self, at: int) -> Piece:
         piece, last = self.items[at], self.items.pop()
         if at < len(self.items):
             self.items[at] = last
-            self.demand[at] = self.demand[len(self.items)]
+            self.demand[:, at] = self.demand[:, len(self.items)]
         return piece
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
@@ -187,22 +187,28 @@ class Packer:
         return head, tail
 
     def _fill(self) -> list[Piece]:
-        limits = np.array(self.limits, float)
-        left, bin_ = limits.copy(), []
+        left, bin_ = [float(limit) for limit in self.limits], []
         while self.items and left[0] >= 1 and left[1] >= 1:
-            demand = self.demand[: len(self.items)]
-            fits = (demand <= left).all(axis=1)
-            if fits.any():
-                gain = demand @ (left / limits**2)
-                piece = self._take(int(np.argmax(np.where(fits, gain, -1.0))))
+            tokens, loss = self.demand[:, : len(self.items)]
+            by_token, by_segment, by_loss = (
+                room / limit**2 for room, limit in zip(left, self.limits, strict=True)
+            )
+            gain = tokens * by_token
+            gain += by_segment
+            gain += loss * by_loss
+            gain[tokens > left[0]] = -1.0
+            gain[loss > left[2]] = -1.0
+            at = int(gain.argmax())
+            if gain[at] >= 0:
+                piece = self._take(at)
             elif self.divisible and (room := int(min(left[0], left[2]))) >= 1:
-                at = int(np.argmax(demand[:, 0]))
-                piece, rest = self._cut(self._take(at), room)
+                piece, rest = self._cut(self._take(int(tokens.argmax())), room)
                 self._wait(rest)
             else:
                 break
             bin_.append(piece)
-            left -= (piece.length, 1, piece.loss)
+            for kind, used in enumerate((piece.length, 1, piece.loss)):
+                left[kind] -= used
         return bin_
 
 
