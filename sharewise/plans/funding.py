@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharewise.session import stage
 from sharewise.sources.snapshots import is_complete
 
 
@@ -28,17 +27,19 @@ def refresh_funding(spark: SparkSession, path: str, batch: str, facts: DataFrame
     Facts lie in a folder a quarter and batch, the report in a folder a quarter, and a write
     replaces just the folders that it fills. So only the quarters that a batch touches are read
     and worked out again, however old they are, and a batch that is written again after a crash
-    takes its own place instead of counting twice. Writers take turns.
+    takes its own place instead of counting twice. Facts are made once, by the write that files
+    them. Writers take turns.
     """
     named = facts.withColumns({"part": _part(F.col("time")), "batch": F.lit(batch)})
-    new = stage(named, "facts")
-    _fill(new, f"{path}/facts", "part", "batch")
-    parts = [r["part"] for r in new.select("part").distinct().collect()]  # quarters are few
+    _fill(named, f"{path}/facts", "part", "batch")
+    known = spark.read.schema(named.schema).parquet(f"{path}/facts")
+    # Folders of the batch: those just filled, and any that an earlier write of it has left.
+    touched = known.filter(F.col("batch") == batch).select("part").distinct()
+    parts = [r["part"] for r in touched.collect()]  # quarters are few
     if parts:
-        known = spark.read.schema(new.schema).parquet(f"{path}/facts")
         totals = funding_by_quarter(known.filter(F.col("part").isin(parts)))
         totals = totals.withColumn("part", _part(F.col("quarter")))
-        _fill(stage(totals, "quarters"), f"{path}/report", "part")
+        _fill(totals, f"{path}/report", "part")
     shape = funding_by_quarter(facts).withColumn("part", F.lit("")).schema
     if not is_complete(spark, f"{path}/report/*"):
         return spark.createDataFrame([], shape).drop("part")
