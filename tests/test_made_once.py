@@ -25,3 +25,12 @@ def test_facts_are_joined_once_for_all_batches(spark, monkeypatch):
     got = entry.funding_refresh(spark, "").select("quarter", "funder", "grant_pool_name", "project", "to_project_id", "total_funding_usd")
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want)))
     assert made.value == 12
+
+
+def test_expanded_rows_are_made_once(spark, monkeypatch, pair_frame):
+    pairs = pair_frame([(i, f"p{i % 3}", f"q{i}", i / 20, 1 - i / 20) for i in range(10)])
+    df, made = counted(spark, pairs)
+    monkeypatch.setattr(entry.src, "mirrored", lambda spark, sf: df)
+    got = entry.expanded_summary(spark, "").first()
+    assert got == entry.rounded(entry.target.expanded_summary(pairs, "a")).first()
+    assert made.value == 10
