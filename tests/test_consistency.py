@@ -5,6 +5,9 @@ import random
 import pytest
 
 from sharewise.operators.consistency import (
+    _closed,
+    _numbered,
+    edges,
     is_consistent,
     mirror_violations,
     triple_summary,
@@ -12,6 +15,7 @@ from sharewise.operators.consistency import (
     weight_sum_check,
 )
 from sharewise.operators.pairs import mirror
+from sharewise.session import stage
 
 
 def weighted(a, b, wa, wb, i=0):
@@ -91,3 +95,20 @@ def test_triples_with_a_hub_against_brute_force(pair_frame):
         for r in triples(mirror(frame)).collect()
     }
     assert got == want
+
+
+def test_names_and_weights_do_not_travel_with_the_neighbour_lists(pair_frame, spark):
+    """Numbers replace names until triples are closed; long names then cost no exchange."""
+    rng, far = random.Random(3), "a-very-long-organisation-name/" * 4
+    names = [f"{far}{i}" for i in range(24)]
+    rows = [
+        (i, a, b, w, 1 - w)
+        for i, (a, b) in enumerate(itertools.combinations(names, 2))
+        for w in [rng.uniform(0.1, 0.9)]
+    ]
+    numbered, numbers = _numbered(stage(edges(pair_frame(rows)), "edges"))
+    assert dict(numbered.dtypes) == {"u": "int", "v": "int"}
+    assert numbered.filter("u >= v").isEmpty() and numbered.count() == len(rows)
+    assert sorted(r.number for r in numbers.collect()) == list(range(len(names)))
+    assert set(_closed(numbered).columns) == {"u", "v", "w"}
+    assert triples(pair_frame(rows)).count() == math.comb(len(names), 3)
