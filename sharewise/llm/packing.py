@@ -35,7 +35,6 @@ POOL = 2048
 WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-CACHED_WORDS = 500_000
 SCHEMA = (
     "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
     "offset bigint, loss_tokens bigint"
@@ -51,7 +50,7 @@ class Limits(NamedTuple):
 # --- tokens --------------------------------------------------------------------------------
 
 
-def _byte_signs() -> dict[str, int]:
+def byte_signs() -> dict[str, int]:
     """The printable sign by which a byte-level vocabulary writes each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     signs = {chr(b): b for b in plain}
@@ -62,13 +61,12 @@ def _byte_signs() -> dict[str, int]:
 class ByteTokenizer:
     """Ids of whole texts by the vocabulary in a ``tokenizers`` file, as little-endian uint32.
 
-    Text is cut at single spaces between other signs, where no token can reach across; the ids
-    of what lies between are remembered for up to ``CACHED_WORDS`` words, then forgotten. The
-    file's added tokens are one id each wherever they stand in a text, as its library has it.
+    A text is encoded in one call that returns its ids as an array: no word is kept, as in prose
+    with many rare words looking words up costs more than encoding them. The file's added tokens
+    are one id each wherever they stand in a text, as its library has it.
     """
 
     def __init__(self, path: str):
-        import regex
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
@@ -79,7 +77,7 @@ class ByteTokenizer:
             if loose or any(c.isspace() for c in token["content"]):
                 raise ValueError(f"{path}: {token['content']!r} takes signs beside it")
             added[token["content"]] = token["id"]
-        signs = _byte_signs()
+        signs = byte_signs()
         ranks = {
             bytes(signs[s] for s in token): rank
             for token, rank in vocabulary.items()
@@ -89,31 +87,12 @@ class ByteTokenizer:
             "words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added
         )
         self.added = set(added)
-        self.blank = regex.compile(r" \s|\s ")
-        self.known: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        ids = self.words.encode(text, allowed_special=self.added, disallowed_special=())
-        return np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.blank.search(text):
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        if text[:1].isspace() or text[-1:].isspace():
-            return self.plain(text)
-        known = self.known
-        try:
-            found = [known[word] for word in rest]
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            found = []
-            for word in rest:
-                if (ids := known.get(word)) is None:
-                    ids = known[word] = self.plain(f" {word}")
-                found.append(ids)
-        return self.plain(first) + b"".join(found)
+        found = self.words.encode_to_numpy(
+            text, allowed_special=self.added, disallowed_special=()
+        )
+        return found.astype("<u4", copy=False).tobytes()
 
 
 _TOKENIZERS: dict[str, ByteTokenizer] = {}
