@@ -50,9 +50,10 @@ def test_a_file_that_cuts_otherwise_is_left_to_the_library(tmp_path):
 
 def test_packing_encodes_a_text_in_one_call_and_keeps_no_words():
     words = packing.ByteTokenizer(BYTES)
-    text = " ".join(f"word{i}, Über" for i in range(2_000)) + "\n\n a  b <|endoftext|>\t"
-    assert np.frombuffer(words.ids(text), "<u4").tolist() == Tokenizer.from_file(BYTES).encode(
-        text, add_special_tokens=False
-    ).ids
+    library = Tokenizer.from_file(BYTES)
+    prose = " ".join(f"word{i}, Über" for i in range(2_000))
+    for text in (prose, prose + "\n\n a  b <|endoftext|>\t"):
+        found = np.frombuffer(words.ids(text), "<u4").tolist()
+        assert found == library.encode(text, add_special_tokens=False).ids
     assert words.ids("") == b""
     assert not any(isinstance(held, dict) and held for held in vars(words).values())
