@@ -3,8 +3,8 @@
 Alternating large-star and small-star rounds: each is an aggregate and a join, the links shrink
 towards stars, and every round is written to the shared folder, so lineage stays short and a
 lost executor costs a round at most. Nothing but the count of links and a checksum reaches the
-driver. A node that a large part of all links meet in (the centre of a star) is split by the
-lookup, so no task gets all of its links.
+driver: nodes are shuffled, whatever Catalyst takes their size to be. A node that a large part of
+all links meet in (the centre of a star) is split by the lookup, so no task gets all of its links.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sharewise.operators.joins import lookup_join
+from sharewise.operators.joins import salted_join
 from sharewise.session import stage
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """``u, v, least``: each link and the smallest neighbour of its ``u``."""
     nodes = edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("__n"))
-    return lookup_join(edges, nodes.drop("__n"), "u", ["v"], how="inner", counts=nodes)
+    least = nodes.drop("__n")
+    return salted_join(edges, least, "u", ["v"], how="inner", counts=nodes, shuffled=True)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -17,6 +17,10 @@ exact nibbles instead, which any linked pair shares, and of which a group holds
 links of a spanning forest, not all pairs, so links grow with the rows and none is lost. A key,
 fingerprint or component that holds more than a task's load is split where it is looked up.
 
+Driver. Every table here grows with the rows, and Catalyst takes keys for as few as the fingerprints
+they were exploded from and staged files for what they weigh compressed. So joins shuffle: none is
+broadcast for its estimate.
+
 Defined results: a null text is an empty one; a text without a word has fingerprint zero,
 linked like any other; with fewer words than a shingle all words are one shingle. Repeated rows
 share their component. An empty table gives no row. A null key gets the component of its text and names no component.
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sharewise.llm.components import connected
 from sharewise.llm.text import raw
-from sharewise.operators.joins import lookup_join
+from sharewise.operators.joins import salted_join
 from sharewise.session import stage
 
 SEED = 42
@@ -173,11 +177,13 @@ def links(
     keys = keys.select("fp", F.struct("step.way", masked.alias("key")).alias("spot"))
     shared = keys.groupBy("spot").agg(F.count("*").alias("n")).filter("n > 1")
     counts = shared.withColumnRenamed("n", "__n")
-    members = lookup_join(keys, shared, "spot", ["fp"], how="inner", counts=counts)
+    members = salted_join(
+        keys, shared, "spot", ["fp"], how="inner", counts=counts, shuffled=True
+    )
     members = stage(members.select("fp", "spot.way", "spot.key", "n"), "simhash-keys")
     cold = members.filter(F.col("n") <= hot)
     pairs = cold.select("way", "key", F.col("fp").alias("a")).join(
-        cold.select("way", "key", F.col("fp").alias("b")), ["way", "key"]
+        cold.select("way", "key", F.col("fp").alias("b")).hint("merge"), ["way", "key"]
     )
     pairs = pairs.filter("a < b")
     # The way's chain goes on to the whole ring; its later budgets, then the full check.
@@ -201,14 +207,15 @@ def near_duplicates(
     prints = stage(prints, "simhash-prints")
     nodes = stage(prints.groupBy("fp").agg(F.min("key").alias("least")), "simhash-nodes")
     roots = connected(links(nodes, max_bits)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = nodes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(
         F.min("least").alias("component_id"), F.count("*").alias("__n")
     )
-    placed = lookup_join(
-        placed.select("fp", "root"), named.drop("__n"), "root", ["fp"], how="inner", counts=named
+    placed = salted_join(
+        placed.select("fp", "root"), named.drop("__n"), "root", ["fp"], how="inner", counts=named,
+        shuffled=True,
     ).select("fp", "component_id")
-    found = lookup_join(prints, placed, "fp", ["key"], how="inner")
+    found = salted_join(prints, placed, "fp", ["key"], how="inner", shuffled=True)
     return found.select(F.col("key").alias(key), "fp", "component_id")
 
 
